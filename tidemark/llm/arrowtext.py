@@ -55,9 +55,10 @@ def range_hash(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
 class Words:
     """The words of a block of texts: byte ranges, hashes and each text's span of words."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE):
+        """``space``: for each byte, whether it separates words (ASCII bytes only)."""
         self.data, self.offsets = data, offsets
-        word = ~_SPACE[data]
+        word = ~space[data]
         inner = np.zeros(len(data) + 1, bool)
         inner[1:-1] = word[1:] & word[:-1] if len(data) else inner[1:-1]
         inner[offsets] = False
@@ -114,5 +115,12 @@ def lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array
     return pa.ListArray.from_arrays(pa.array(bounds), pa.array(values, kind))
 
 
+def per_text(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """The sum of the values of each text."""
+    total = np.zeros(len(values) + 1, np.int64)
+    np.cumsum(values, out=total[1:])
+    return total[offsets[1:]] - total[offsets[:-1]]
+
+
 def signed(x: np.ndarray) -> np.ndarray:
     return x.view(np.int64)
