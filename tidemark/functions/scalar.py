@@ -83,7 +83,7 @@ def numbers_in(text: Column) -> Column:
 
 
 def digits_of(text: Column) -> Column:
-    return F.expr("try_cast(nullif(_d, '') as bigint)") if False else F.nullif(F.regexp_replace(text, "[^0-9]", ""), F.lit("")).try_cast("long")
+    return F.nullif(F.regexp_replace(text, "[^0-9]", ""), F.lit("")).try_cast("long")
 
 
 def escape_spaces(path: Column) -> Column:

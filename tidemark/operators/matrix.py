@@ -17,11 +17,10 @@ def gram(x: DataFrame) -> DataFrame:
     return x.join(x.select("i", F.col("j").alias("k"), F.col("v").alias("w")), "i").groupBy("j", "k").agg(F.sum(F.col("v") * F.col("w")).alias("v"))
 
 
-def gram_of_vectors(df: DataFrame, vector: str, width: int) -> DataFrame:
+def gram_of_vectors(df: DataFrame, vector: str) -> DataFrame:
     """Column moments straight from array rows: each row gives its width ** 2 products to a partial sum, without a join."""
     x = F.transform(vector, lambda a: a.cast("double"))
     rows = df.select(x.alias("x")).select("x", F.posexplode("x").alias("j", "a")).select("j", "a", F.posexplode("x").alias("k", "b"))
-    del width
     return rows.groupBy("j", "k").agg(F.sum(F.col("a") * F.col("b")).alias("v"), F.covar_samp("a", "b").alias("cov"), F.corr("a", "b").alias("corr"))
 
 

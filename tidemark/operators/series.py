@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalar import circ_wrap
+from tidemark.session import ship
 from tidemark.spec import SeriesSpec
 
 # ---- frames
@@ -85,11 +86,9 @@ def scale_between(df: DataFrame, spec: SeriesSpec, low: float = 0, high: float =
 
 def convergence(df: DataFrame, spec: SeriesSpec, width: int, tol: float, mode: str = "abs_less") -> DataFrame:
     """First position whose preceding ``width`` values have a fitted line that changes by less/more than tol, by series."""
-    w = spec.rows(width, -1)
     part = spec.indexed(df)
     ix = SeriesSpec(spec.keys, ("t",), spec.value)
     part = part.withColumn("_delta", F.when(F.count(spec.x).over(ix.rows(width, -1)) == width, (width - 1) * F.regr_slope(spec.x, F.col("t").cast("double")).over(ix.rows(width, -1))))
-    del w
     d = F.col("_delta")
     hit = {"less": d < tol, "greater": d > tol, "abs_less": F.abs(d) < tol, "abs_greater": F.abs(d) > tol}[mode]
     return part.groupBy(*spec.keys).agg(F.min(F.when(hit, F.col("t"))).alias("converged_at"))
@@ -254,6 +253,7 @@ def dampen(df: DataFrame, spec: SeriesSpec, factor: float, out: str = "damped")
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
+    ship(df.sparkSession)
     return df.groupBy(*spec.keys).applyInPandas(fold, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
 
@@ -271,7 +271,8 @@ def unfold(df: DataFrame, spec: SeriesSpec, size: int, step: int) -> DataFrame:
 def batches(df: DataFrame, spec: SeriesSpec, size: int, min_size: int = 1) -> DataFrame:
     """Adds the batch of ``size`` consecutive rows; batches smaller than min_size are dropped."""
     part = spec.indexed(df).withColumn("batch", F.floor(F.col("t") / size).cast("long"))
-    return part.where(F.count("*").over(Window.partitionBy(*spec.keys, "batch")) >= min_size)
+    sized = part.withColumn("_m", F.count("*").over(Window.partitionBy(*spec.keys, "batch")))
+    return sized.where(F.col("_m") >= min_size).drop("_m")
 
 
 def bin_by(df: DataFrame, spec: SeriesSpec, width: int, reduce: Callable[[Column], Column] = F.avg, crop: bool = False) -> DataFrame:

@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from tidemark.queries import matrices, series, tables
+
+QUERIES: dict = series.QUERIES | matrices.QUERIES | tables.QUERIES
+ORACLES: dict = series.ORACLES | matrices.ORACLES | tables.ORACLES
