@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-ROOT = str(Path(__file__).resolve().parents[2])
+from tidemark.session import ship
+
 #: A side of a join is broadcast only when its counted rows take fewer bytes than this.
 BROADCAST_BYTES = 4 << 20
 
@@ -29,9 +29,7 @@ class Spool:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.at = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
-        paths = spark.sparkContext.environment.get("PYTHONPATH", "").split(":")
-        if ROOT not in paths:
-            spark.sparkContext.environment["PYTHONPATH"] = ":".join([ROOT, *filter(None, paths)])
+        ship(spark)
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
