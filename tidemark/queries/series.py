@@ -56,14 +56,18 @@ def dff_global(spark, d):
     return S.dff(events(spark, d), E).select("event_id", r6("dff").alias("dff"))
 
 
-@R.add(f"select event_id, round(avg(value) {rows('9 preceding and current row')}, 6) + 0.0 as moving_mean, round(var_pop(value) {rows('9 preceding and current row')}, 5) + 0.0 as moving_var, round(avg(value * value) {rows('9 preceding and current row')}, 5) + 0.0 as moving_square from events")
+# means of few-decimal values end after a few places: they are rounded beyond those, so that no tie is decided by float noise
+_W7 = rows("6 preceding and current row")
+
+
+@R.add(f"select event_id, round(avg(value) {_W7}, 9) + 0.0 as moving_mean, round(var_pop(value) {_W7}, 9) + 0.0 as moving_var, round(avg(value * value) {_W7}, 9) + 0.0 as moving_square from events")
 def moving_moments(spark, d):
-    return S.moving(events(spark, d), E, 10).select("event_id", r6("moving_mean").alias("moving_mean"), (F.round("moving_var", 5) + 0.0).alias("moving_var"), (F.round("moving_square", 5) + 0.0).alias("moving_square"))
+    return S.moving(events(spark, d), E, 7).select("event_id", *((F.round(c, 9) + 0.0).alias(c) for c in ("moving_mean", "moving_var", "moving_square")))
 
 
-@R.add(f"select event_id, round(avg(value) {rows('unbounded preceding and current row')}, 6) + 0.0 as running_mean from events")
+@R.add(f"select event_id, round(avg(value) {rows('unbounded preceding and current row')}, 10) + 0.0 as running_mean from events")
 def cumulative_mean(spark, d):
-    return S.cumulative_mean(events(spark, d), E).select("event_id", r6("running_mean").alias("running_mean"))
+    return S.cumulative_mean(events(spark, d), E).select("event_id", (F.round("running_mean", 10) + 0.0).alias("running_mean"))
 
 
 @R.add(f"select event_id, round((value - greatest(m, 1e-7)) / nullif(s, 0), 5) + 0.0 as z from (select event_id, value, avg(value) {rows('19 preceding and current row')} as m, case when row_number() {rows()} > 1 then stddev_pop(value) {rows('19 preceding and current row')} end as s from events)")
