@@ -21,6 +21,8 @@ SHINGLE = 5
 SIMILARITY = 0.8
 #: A pair at similarity 0.8 shares no band with probability (1 - 0.8 ** 4) ** 25 = 2e-6.
 BANDS, ROWS = 25, 4
+#: Members of a block when a bucket's members are compared with each other.
+BLOCK = 512
 _U = np.uint64
 
 
@@ -126,14 +128,59 @@ def _elements(size: int):
     return run
 
 
+def _linked(similarity: float):
+    """The classes that links between the members of one block, or of two, make of them: at most a row a member.
+
+    Only members of different components are compared, and of two blocks only one from each; a pair whose distances to
+    the star's centre differ by more than 1 - similarity can't be linked.
+    """
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        ids, comp, d, own = (group.column(c).to_numpy() for c in ("b", "comp", "d", "own"))
+        ask = (comp[:, None] != comp[None]) & (np.abs(d[:, None] - d[None]) <= 1 - similarity + 1e-9)
+        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+            ask &= own[:, None] != own[None]
+        n, label = len(ids), np.arange(len(ids))
+        if ask.any():
+            column = group.column("bag").combine_chunks()
+            size = column.value_lengths().to_numpy().astype(np.int64)
+            _, element, times = np.unique(column.flatten().to_numpy(), return_inverse=True, return_counts=True)
+            owner = np.repeat(np.arange(n), size)
+            shared = times[element] > 1
+            place = np.cumsum(times > 1) - 1
+            owner, element = owner[shared], place[element[shared]]
+            order = np.argsort(element, kind="stable")
+            owner, element = owner[order], element[order]
+            both = np.zeros((n, n), np.float32)
+            for lo in range(0, int(element[-1]) + 1 if len(element) else 0, 4096):
+                x, y = np.searchsorted(element, [lo, lo + 4096])
+                part = np.zeros((n, 4096), np.float32)
+                part[owner[x:y], element[x:y] - lo] = 1
+                both += part @ part.T
+            link = ask & (both >= similarity * (size[:, None] + size[None] - both) - 1e-3)
+            # the float counts are whole numbers below 2 ** 24; the margin only guards the product
+            while True:
+                new = np.minimum(label, np.where(link, label[None], n).min(axis=1))
+                new = np.minimum(new, new[new])
+                if (new == label).all():
+                    break
+                label = new
+        moved = np.flatnonzero(label != np.arange(n))
+        return pa.table({"a": pa.array(np.minimum(ids[label[moved]], ids[moved])), "b": pa.array(np.maximum(ids[label[moved]], ids[moved]))})
+
+    return run
+
+
 def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS, size: int = SHINGLE) -> DataFrame:
     """(doc_id, class_id, n_words): class_id is the smallest doc_id among the documents reached by links of at least ``similarity``.
 
     1. Documents with the same word sequence are represented by the smallest id; only representatives go on.
     2. In each band bucket every representative is compared with the bucket's smallest id (a star, not all pairs).
-    3. Members of one bucket that are still in different components are compared too, except where the metric
-       1 - similarity shows from their distances to the star's centre that they can't be linked. So every linked
-       pair that shares a bucket ends in one class, whatever the size of its group.
+    3. Members of one bucket that are still in different components are compared too, in blocks and by counting shared
+       shingles, except where the metric 1 - similarity shows from their distances to the star's centre that they
+       can't be linked. A block gives at most one row a member. So every linked pair that shares a bucket ends in
+       one class, whatever the size of its group.
     Rows with a null doc_id are left out; a repeated doc_id counts once. Other columns are ignored.
     """
     spool = Spool(docs.sparkSession)
@@ -162,15 +209,15 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: i
     # buckets whose members are not yet in one component
     placed = seats.hint("merge").join(comp.select(F.col("id").alias("b"), "comp").hint("merge"), "b", "left").select("band", "a", "b", F.coalesce("comp", "b").alias("comp"))
     placed = spool.cut(placed, "placed")
-    mixed = spool.cut(placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("a") != F.col("b")).alias("n")).where("lo < hi and n > 1").select("band"), "mixed")
-    open_seats = placed.where("a < b").hint("merge").join(mixed.hint("merge"), "band").join(known.hint("merge"), ["a", "b"]).select("band", "b", "comp", (1 - F.col("s")).alias("d"))
-    open_seats = spool.cut(open_seats, "open_seats")
-    left, right = open_seats.select("band", *(F.col(c).alias(f"{c}_l") for c in ("b", "comp", "d"))), open_seats
-    cross = left.hint("merge").join(
-        right.hint("merge"),
-        (left.band == right.band) & (F.col("comp_l") < F.col("comp")) & (F.abs(F.col("d_l") - F.col("d")) <= 1 - similarity + 1e-9),
-    ).select(F.least("b_l", "b").alias("a"), F.greatest("b_l", "b").alias("b"))
-    more = spool.cut(_measured(spool.cut(cross.distinct(), "cross"), held).where(F.col("s") >= similarity).select("a", "b"), "more")
+    mixed = spool.cut(placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("a") != F.col("b")).alias("n")).where("lo < hi and n > 1").select("band", "n"), "mixed")
+    blocks_of = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int").alias("blocks")
+    mine = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
+    open_seats = placed.where("a < b").hint("merge").join(mixed.select("band", blocks_of).hint("merge"), "band").join(known.hint("merge"), ["a", "b"])
+    dealt = open_seats.select("band", "b", "comp", (1 - F.col("s")).alias("d"), mine.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "b", "comp", "d")
+    bag = held.select(F.col("doc_id").alias("b"), "bag")
+    more = dealt.hint("merge").join(bag.hint("merge"), "b").groupBy("band", "i", "j").applyInArrow(_linked(similarity), "a long, b long")
+    more = spool.cut(more.distinct(), "more")
     if more.limit(1).count():
         comp = components(spool, edges.unionByName(more), "c2")
     classes = comp.select(F.col("id").alias("rep"), F.col("comp").alias("class_id"))
