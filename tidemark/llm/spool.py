@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.session import ship
 
+BATCH_ROWS = 2000
 #: A side of a join is broadcast only when its counted rows take fewer bytes than this.
 BROADCAST_BYTES = 4 << 20
 
@@ -30,6 +31,9 @@ class Spool:
         self.spark = spark
         self.at = f"{shared_dir(spark)}/tidemark/{uuid.uuid4().hex}"
         ship(spark)
+        # long texts come in smaller Arrow batches than Spark's 10,000 rows, which both the executor and its workers hold
+        if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
     def cut(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.at}/{name}"
