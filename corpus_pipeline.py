@@ -13,17 +13,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import neardup, packing, passages, secret_scan, toxicity
-from tidemark.llm.spool import Spool
+from tidemark.llm.spool import BROADCAST_BYTES, Spool, keep_matching
 
 #: Documents at this score and above are rejected.
 TOXIC = 0.5
 
 
-def _with_text(docs: DataFrame, text) -> DataFrame:
-    """The columns of ``docs`` with another text; n_chars follows where it changed."""
-    new = docs.withColumn("_new", text)
-    chars = F.when(F.col("_new").eqNullSafe(F.col("text")), F.col("n_chars")).otherwise(F.length("_new")).cast(docs.schema["n_chars"].dataType)
-    return new.withColumn("n_chars", chars).withColumn("text", F.col("_new")).select(docs.columns)
+def _fresh(docs: DataFrame, *names: str) -> list[str]:
+    """Column names that the table doesn't have yet."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name in taken:
+            name += "_"
+        taken.add(name)
+        out.append(name)
+    return out
+
+
+def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
+    """``columns`` of ``docs`` with another text; n_chars follows where it changed."""
+    same = text.eqNullSafe(F.col("text"))
+    chars = F.when(same, F.col("n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)
+    return docs.select(*(text.alias(c) if c == "text" else chars.alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in columns))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,26 +45,35 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     classes = Spool(spark).cut(neardup.near_duplicates(docs), "classes")
     later = Spool(spark).cut(classes.where("doc_id <> class_id").select("doc_id"), "later")
-    small = later.count() * 16 <= (4 << 20)
-    return docs.join(F.broadcast(later) if small else later.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    small = later.count() * 16 <= BROADCAST_BYTES
+    kept = docs.join(F.broadcast(later) if small else later.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
+    return kept.dropDuplicates(["doc_id"]) if repeated else kept
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeated passages go; a document of which no word is left goes whole."""
     spool = Spool(spark)
     spans = spool.cut(passages.repeated_spans(docs).where(F.size("spans") > 0), "spans")
-    touched = spool.cut(passages.kept_words(docs.join(F.broadcast(spans.select("doc_id")), "doc_id", "left_semi") if spans.count() * 16 <= (4 << 20) else docs, spans).select("doc_id", "kept"), "kept")
-    joined = docs.hint("merge").join(touched.hint("merge"), "doc_id", "left").where("kept is null or kept <> ''")
-    return _with_text(joined, F.coalesce("kept", "text")).select(docs.columns)
+    touched = passages.kept_words(keep_matching(docs.select("doc_id", "text"), spans.select("doc_id"), "doc_id"), spans)
+    kept = _fresh(docs, "_kept")[0]
+    touched = spool.cut(touched.select("doc_id", F.col("kept").alias(kept)).dropDuplicates(["doc_id"]), "kept")
+    small = touched.count() * 4096 <= BROADCAST_BYTES
+    joined = docs.hint("merge").join(F.broadcast(touched) if small else touched.hint("merge"), "doc_id", "left")
+    joined = joined.where(F.col(kept).isNull() | (F.col(kept) != ""))
+    return _with_text(joined, F.coalesce(F.col(kept), F.col("text")), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     spool = Spool(spark)
-    found = spool.cut(secret_scan.find_secrets(docs).where(F.size("found") > 0), "found")
-    keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
-    joined = keyed.join(F.broadcast(found) if found.count() * 400 <= (4 << 20) else found.hint("merge"), ["doc_id", "h"], "left")
-    text = F.when(F.col("found").isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col("found")))
-    return _with_text(joined, text).select(docs.columns)
+    h, found = _fresh(docs, "_h", "_found")
+    hits = secret_scan.find_secrets(docs.select("doc_id", "text")).where(F.size("found") > 0)
+    hits = spool.cut(hits.select("doc_id", F.col("h").alias(h), F.col("found").alias(found)), "found")
+    keyed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
+    small = hits.count() * 400 <= BROADCAST_BYTES
+    joined = keyed.join(F.broadcast(hits) if small else hits.hint("merge"), ["doc_id", h], "left")
+    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col(found)))
+    return _with_text(joined, text, docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
