@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -89,6 +91,10 @@ def cluster_similarity(s: DataFrame, labels: DataFrame) -> DataFrame:
     got = s.join(labels.select("i", F.col("c").alias("a")), "i").join(labels.select(F.col("i").alias("j"), F.col("c").alias("b")), "j")
     own = F.col("i") != F.col("j")
     got = got.groupBy("a", "b").agg(F.sum(F.when(own, F.col("v"))).alias("t"), F.max(F.when(own, F.col("v"))).alias("high"), F.min("v").alias("least"), F.count_if(F.col("v") != 0).alias("m"))
+    return _between(got, size)
+
+
+def _between(got: DataFrame, size: DataFrame) -> DataFrame:
     got = got.join(size.select(F.col("c").alias("a"), F.col("n").alias("na")), "a").join(size.select(F.col("c").alias("b"), F.col("n").alias("nb")), "b")
     same = (F.col("a") == F.col("b")).cast("int")
     cells = F.col("na") * F.col("nb")
@@ -96,6 +102,62 @@ def cluster_similarity(s: DataFrame, labels: DataFrame) -> DataFrame:
                       F.when(F.col("m") < cells, 0.0).otherwise(F.col("least")).alias("low"))
 
 
+#: Vectors of one side of a block product, and rows of it that are multiplied at once.
+BLOCK, STRIP = 2048, 512
+
+
+def block_products(v: DataFrame, i: str, vector: str, run: Callable, schema: str, block: int = BLOCK, *more: str) -> DataFrame:
+    """Every vector against every vector: ``run(x, y)`` for each two blocks, of which y is x itself or another one.
+
+    Vectors are dealt to blocks by the hash of their id, and a vector goes to as many pairs of blocks as there are
+    blocks, so a group has two blocks at most. ``x`` and ``y``: (ids, matrix, columns of ``more``), by ascending id.
+    Rows with a null id or vector take no part.
+    """
+    rows = v.where(F.col(i).isNotNull() & F.col(vector).isNotNull()).select(F.col(i).cast("long").alias("i"), F.col(vector).alias("x"), *more)
+    n = max(1, -(-rows.count() // block))
+    dealt = rows.withColumn("own", F.pmod(F.xxhash64("i"), F.lit(n)).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.select("i", "x", "own", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), *more)
+
+    def pair(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks().sort_by("i")
+        own, p, q = (group.column(c).to_numpy() for c in ("own", "p", "q"))
+        x = group.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(own), -1)
+        side = lambda b: (group.column("i").to_numpy()[own == b], x[own == b], *(group.column(c).to_numpy()[own == b] for c in more))
+        return run(side(p[0]), side(q[0]))
+
+    return dealt.groupBy("p", "q").applyInArrow(pair, schema)
+
+
+def cluster_similarity_of_vectors(v: DataFrame, i: str, vector: str, label: str, block: int = BLOCK) -> DataFrame:
+    """``cluster_similarity`` of all products of vectors, rounded to 6 places; labels are whole numbers. No pair leaves its block."""
+
+    def run(x, y):
+        (la, ra), (lb, rb) = (np.unique(m[2], return_inverse=True) for m in (x, y))
+        order, same = np.argsort(rb, kind="stable"), np.array_equal(x[0], y[0])
+        ids, z, starts = y[0][order], y[1][order], np.searchsorted(rb[order], np.arange(len(lb)))
+        t, high, least, m = np.zeros((len(la), len(lb))), np.full((len(la), len(lb)), -np.inf), np.full((len(la), len(lb)), np.inf), np.zeros((len(la), len(lb)), np.int64)
+        for at in range(0, len(x[0]) if len(lb) else 0, STRIP):
+            r = ra[at : at + STRIP]
+            s = np.round(x[1][at : at + STRIP] @ z.T, 6)
+            np.minimum.at(least, r, np.minimum.reduceat(s, starts, axis=1))
+            np.add.at(m, r, np.add.reduceat((s != 0).astype(np.int64), starts, axis=1))
+            own = x[0][at : at + STRIP, None] == ids[None]
+            np.maximum.at(high, r, np.maximum.reduceat(np.where(own, -np.inf, s), starts, axis=1))
+            np.add.at(t, r, np.add.reduceat(np.where(own, 0.0, s), starts, axis=1))
+        a, b = (g.ravel() for g in np.meshgrid(la, lb, indexing="ij"))
+        part = [a, b, t.ravel(), high.ravel(), least.ravel(), m.ravel()]
+        if not same:
+            part = [np.concatenate(c) for c in zip(part, [b, a, *part[2:]], strict=True)]
+        names = ("a", "b", "t", "high", "least", "m")
+        return pa.table([pa.array(c, pa.int64() if n in "abm" else pa.float64(), mask=~np.isfinite(c)) for n, c in zip(names, part, strict=True)], names=list(names))
+
+    v = v.where(F.col(label).isNotNull())
+    size = v.groupBy(F.col(label).cast("long").alias("c")).agg(F.count("*").alias("n"))
+    got = block_products(v.withColumn("_c", F.col(label).cast("long")), i, vector, run, "a long, b long, t double, high double, least double, m long", block, "_c")
+    got = got.groupBy("a", "b").agg(F.sum("t").alias("t"), F.max("high").alias("high"), F.min("least").alias("least"), F.sum("m").alias("m"))
+    return _between(got, size)
+
+
 def orthogonalise(df: DataFrame, keys: Sequence[str], v1: str, v2: str) -> DataFrame:
     """Residual of v1 after its projection on v2, both centred, with the explained share, by group."""
     fit = df.groupBy(*keys).agg(F.regr_slope(v1, v2).alias("_b"), F.avg(v1).alias("_m1"), F.avg(v2).alias("_m2"), F.pow(F.corr(v1, v2), 2).alias("evr"))

@@ -71,6 +71,7 @@ def sparse_roll(spark, d):
     return M.roll(M.off_diagonal(sparse(spark, d, "l_quantity", "true")), 7, 101)
 
 
+PRODUCTS = "(select a.vec_id as i, b.vec_id as j, a.label as a, b.label as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as v from embeddings a, embeddings b)"
 CLUSTER = "(select a.vec_id as i, b.vec_id as j, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as v from embeddings a, embeddings b where a.vec_id < 60 and b.vec_id < 60)"
 
 
@@ -87,6 +88,15 @@ def cluster_similarity(spark, d):
     return got.select("a", "b", r6("mean").alias("mean"), (F.col("high") + 0.0).alias("high"), (F.col("low") + 0.0).alias("low"))
 
 
+@R.add(f"""with s as {PRODUCTS}, n as (select label as c, count(*) as n from embeddings group by 1)
+select s.a, s.b, round(sum(case when s.i <> s.j then v end) / nullif(max(na.n * nb.n - case when s.a = s.b then na.n else 0 end), 0), 6) + 0.0 as mean,
+coalesce(max(case when s.i <> s.j then v end), 0) + 0.0 as high, case when count(case when v <> 0 then 1 end) < max(na.n * nb.n) then 0.0 else min(v) end + 0.0 as low
+from s join n na on na.c = s.a join n nb on nb.c = s.b group by 1, 2""")
+def cluster_similarity_all(spark, d):
+    got = M.cluster_similarity_of_vectors(vectors(spark, d), "vec_id", "embedding", "label")
+    return got.select("a", "b", r6("mean").alias("mean"), (F.col("high") + 0.0).alias("high"), (F.col("low") + 0.0).alias("low"))
+
+
 @R.add("""select l_suppkey, round(pow(corr(l_extendedprice, l_quantity), 2), 6) + 0.0 as evr, round(sum(l_extendedprice * l_quantity) / sqrt(sum(l_quantity * l_quantity)), 3) + 0.0 as score from lineitem group by 1""")
 def orthogonalise(spark, d):
     li = table(spark, d, "lineitem")
