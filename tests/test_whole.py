@@ -32,8 +32,9 @@ def equal_to_sql(spark, name):
 
 
 @needs_data
-def test_cluster_similarity_all_equals_sql(spark):
-    equal_to_sql(spark, "cluster_similarity_all")
+@pytest.mark.parametrize("name", ["cluster_similarity_all", "cosine_pairs_all", "knn_topk_all"])
+def test_equals_sql(spark, name):
+    equal_to_sql(spark, name)
 
 
 def test_cluster_similarity_of_vectors(spark, small):
@@ -47,3 +48,26 @@ def test_cluster_similarity_of_vectors(spark, small):
     for (a, b), g in got.items():
         part, own = s[np.ix_(c == a, c == b)], (np.eye(60, dtype=bool))[np.ix_(c == a, c == b)]
         assert np.allclose(g, (part[~own].mean(), part[~own].max(), part.min() if (part != 0).all() else 0.0), atol=1e-6)
+
+
+def test_cosines(spark, small):
+    from tidemark.operators import matrix as M
+
+    rows, df = small
+    got = {(r["a"], r["b"]): r["cosine"] for r in M.cosines(df, "vec_id", "embedding", 16).collect()}
+    assert len(got) == 60 * 59 // 2
+    for p, (a, x, _) in enumerate(rows):
+        for b, y, _ in rows[p + 1 :]:
+            n = np.linalg.norm(x) * np.linalg.norm(y)
+            assert got[a, b] is None if n == 0 else abs(got[a, b] - np.dot(x, y) / n) < 1e-9
+
+
+def test_nearest_by_dot(spark, small):
+    from tidemark.operators import matrix as M
+
+    rows, df = small
+    got = {(r["i"], r["rank"]): r["j"] for r in M.nearest_by_dot(df, "vec_id", "embedding", 5, 16).collect()}
+    assert len(got) == 300
+    for a, x, _ in rows:
+        want = sorted((round(-float(np.dot(x, y)), 9), b) for b, y, _ in rows if b != a)[:5]
+        assert [got[a, k] for k in range(1, 6)] == [b for _, b in want]

@@ -128,6 +128,42 @@ def block_products(v: DataFrame, i: str, vector: str, run: Callable, schema: str
     return dealt.groupBy("p", "q").applyInArrow(pair, schema)
 
 
+def cosines(v: DataFrame, i: str, vector: str, block: int = BLOCK // 2) -> DataFrame:
+    """(a, b, cosine) of all pairs a < b; null where a vector is zero."""
+
+    def run(x, y):
+        unit = [m / np.where(n := np.sqrt((m * m).sum(axis=1, keepdims=True)), n, np.nan) for m in (x[1], y[1])]
+        a, b = np.meshgrid(x[0], y[0], indexing="ij")
+        keep = a < b if x[0] is y[0] or np.array_equal(x[0], y[0]) else np.ones(a.shape, bool)
+        a, b, c = a[keep], b[keep], (unit[0] @ unit[1].T)[keep]
+        return pa.table({"a": np.minimum(a, b), "b": np.maximum(a, b), "cosine": pa.array(c, mask=np.isnan(c))})
+
+    return block_products(v, i, vector, run, "a long, b long, cosine double", block)
+
+
+def nearest_by_dot(v: DataFrame, i: str, vector: str, k: int, block: int = BLOCK) -> DataFrame:
+    """(i, j, rank): the k vectors of largest product with each vector, itself excepted; ties to the smaller j."""
+
+    def best(x, y):
+        for at in range(0, len(x[0]), STRIP):
+            ids = x[0][at : at + STRIP]
+            s = np.round(-(x[1][at : at + STRIP] @ y[1].T), 9)
+            s[ids[:, None] == y[0][None]] = np.inf
+            last = np.partition(s, k - 1, axis=1)[:, k - 1 : k] if s.shape[1] > k else np.inf
+            r, c = np.nonzero((s <= last) & np.isfinite(s))
+            order = np.lexsort((c, s[r, c], r))
+            r, c = r[order], c[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            yield ids[r[first]], y[0][c[first]], s[r[first], c[first]]
+
+    def run(x, y):
+        found = [*best(x, y), *([] if np.array_equal(x[0], y[0]) else best(y, x))]
+        a, b, s = (np.concatenate(c) for c in zip(*found, strict=True)) if found else ([], [], [])
+        return pa.table({"i": pa.array(a, pa.int64()), "j": pa.array(b, pa.int64()), "v": pa.array(s, pa.float64())})
+
+    return top_k(block_products(v, i, vector, run, "i long, j long, v double", block), k).select("i", "j", "rank")
+
+
 def cluster_similarity_of_vectors(v: DataFrame, i: str, vector: str, label: str, block: int = BLOCK) -> DataFrame:
     """``cluster_similarity`` of all products of vectors, rounded to 6 places; labels are whole numbers. No pair leaves its block."""
 

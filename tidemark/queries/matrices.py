@@ -41,6 +41,18 @@ def knn_topk(spark, d):
     return M.top_k(pairs, 5).select("i", "j", "rank")
 
 
+@R.add("""select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])), 6) + 0.0 as cosine
+from embeddings a join embeddings b on a.vec_id < b.vec_id""")
+def cosine_pairs_all(spark, d):
+    return M.cosines(vectors(spark, d), "vec_id", "embedding").withColumn("cosine", r6("cosine"))
+
+
+@R.add("""select i, j, rank from (select a.vec_id as i, b.vec_id as j, row_number() over (partition by a.vec_id order by round(-list_dot_product(a.embedding::double[], b.embedding::double[]), 9), b.vec_id)::int as rank
+from embeddings a join embeddings b on a.vec_id <> b.vec_id) where rank <= 5""")
+def knn_topk_all(spark, d):
+    return M.nearest_by_dot(vectors(spark, d), "vec_id", "embedding", 5)
+
+
 @R.add("""with a as (select l_orderkey as i, l_suppkey as j, sum(l_quantity) as v from lineitem group by 1, 2), b as (select s_suppkey as j, s_nationkey as k, s_acctbal as v from supplier)
 select i, k, round(sum(a.v * b.v), 3) + 0.0 as v from a join b on a.j = b.j group by 1, 2""")
 def sparse_matmul(spark, d):
