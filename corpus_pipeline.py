@@ -43,12 +43,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    classes = Spool(spark).cut(neardup.near_duplicates(docs), "classes")
-    later = Spool(spark).cut(classes.where("doc_id <> class_id").select("doc_id"), "later")
+    """Of each class of near-duplicates the document with the smallest doc_id stays.
+
+    Where a doc_id is null or repeats, every (doc_id, text) is a document of its own: rows equal in both count once, other
+    texts of the same id and texts without an id are judged by content like any document, those without an id last.
+    """
+    spool = Spool(spark)
+    odd = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("doc_id is null or n > 1").limit(1).count()
+    if odd:
+        return _drop_by_text(spool, docs)
+    classes = spool.cut(neardup.near_duplicates(docs), "classes")
+    later = spool.cut(classes.where("doc_id <> class_id").select("doc_id"), "later")
     small = later.count() * 16 <= BROADCAST_BYTES
-    kept = docs.join(F.broadcast(later) if small else later.hint("merge"), "doc_id", "left_anti").select(docs.columns)
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").limit(1).count()
-    return kept.dropDuplicates(["doc_id"]) if repeated else kept
+    return docs.join(F.broadcast(later) if small else later.hint("merge"), "doc_id", "left_anti").select(docs.columns)
+
+
+def _drop_by_text(spool: Spool, docs: DataFrame) -> DataFrame:
+    """As ``drop_near_duplicates``, by numbers that follow the order of (doc_id, text) in place of the ids."""
+    number, key, body = _fresh(docs, "_number", "_key", "_body")
+    texts = docs.select(F.col("doc_id").alias(key), F.col("text").alias(body)).distinct().orderBy(F.asc_nulls_last(key), body)
+    texts = spool.cut(texts.withColumn(number, F.monotonically_increasing_id()), "texts")
+    classes = spool.cut(neardup.near_duplicates(texts.select(F.col(number).alias("doc_id"), F.col(body).alias("text"))), "classes")
+    first = texts.join(classes.where("doc_id = class_id").select(F.col("doc_id").alias(number)).hint("merge"), number, "left_semi")
+    same = F.col("doc_id").eqNullSafe(F.col(key)) & F.col("text").eqNullSafe(F.col(body))
+    return docs.dropDuplicates(["doc_id", "text"]).join(first.hint("merge"), same, "left_semi").select(docs.columns)
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,6 +2,8 @@
 
 import importlib
 
+import pytest
+
 import corpus_pipeline
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -15,3 +17,22 @@ def test_toxicity_rejects_what_operator_6_predicts(spark, tmp_path, monkeypatch)
     model = importlib.import_module("lengthmodel").score
     monkeypatch.setattr(corpus_pipeline.toxicity, "fit", lambda *_: model)
     assert [r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, str(tmp_path)).collect()] == [29]
+
+
+def long_text(start: int) -> str:
+    return " ".join(f"word{i}" for i in range(start, start + 60))
+
+
+@pytest.mark.parametrize("repeat", [False, True])
+def test_near_duplicates_without_or_with_repeated_ids(spark, repeat):
+    a, b, c, d, e = (long_text(k * 1000) for k in range(5))
+    rows = [(1, a), (2, a + " more"), (3, b), (None, c), (None, d), (None, d), (None, b + " more"), (None, None)]
+    want = [(1, a), (3, b), (None, c), (None, d), (None, None)]
+    if repeat:
+        rows += [(7, e), (7, e), (7, a + " again"), (8, ""), (9, "")]
+        want += [(7, e), (8, ""), (9, "")]
+    docs = spark.createDataFrame([(i, t, "en", "a", 1) for i, t in rows], DOCS)
+    got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=order) == sorted(want, key=order)
