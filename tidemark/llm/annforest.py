@@ -3,7 +3,7 @@
 Each tree gives a vector a long string of hash bits: the sides of random hyperplanes through the sample's medians. A
 tree is the sorted array of these strings. A query descends to its longest matching prefix in every tree and then
 ascends in all trees at once, one bit at a time, until the prefixes hold enough vectors; these are its candidates, all
-of them. Distances are exact. Vectors that are null, empty, zero, of another length than most, or that hold null or
+of them. Where even ROOT bits hold too few, the whole table is searched. Distances are exact. Vectors that are null, empty, zero, of another length than most, or that hold null or
 non-finite components take no part, neither as queries nor as candidates. Repeated ids count once.
 """
 
@@ -93,7 +93,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, *, trees: int = T
     """(query_id, rank, vec_id, score): the k nearest found of every row for which ``is_query`` holds, itself excepted.
 
     ``vectors``: (vec_id, embedding). Work in a group is bounded: a cell's array is dealt by id over as many salts as
-    ARRAY needs, and its queries go to each of them.
+    ARRAY needs, and its queries go to each of them. A query for which ROOT bits hold too few entries goes to the whole
+    table, dealt likewise; k other vectors are thus found wherever the table has them.
     """
     spool = Spool(vectors.sparkSession)
     rows = vectors.where(F.col("vec_id").isNotNull() & usable(F.col("embedding")))
@@ -124,10 +125,20 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 10, *, trees: int = T
     pair = lambda a, b, f, s: a.groupBy(*group).cogroup(b.groupBy(*group)).applyInArrow(f, s)
     counts = pair(points.drop("vector", "vec_id"), asked.drop("embedding"), _counts(BITS, ROOT), "query_id long, n array<long>")
     levels = counts.select("query_id", F.posexplode("n").alias("step", "n")).groupBy("query_id", "step").agg(F.sum("n").alias("n"))
-    deep = levels.where(F.col("n") >= max(least, int(share * n))).groupBy("query_id").agg(F.max("step").alias("step"))
+    wanted = max(least, int(share * n), trees * (k + 1))  # a vector is at most one entry a tree, and the query is one of them
+    deep = levels.where(F.col("n") >= wanted).groupBy("query_id").agg(F.max("step").alias("step"))
     depth = spool.cut(index.where("ask").select(F.col("vec_id").alias("query_id")).join(deep, "query_id", "left").select(
-        "query_id", (F.coalesce("step", F.lit(0)) + ROOT).cast("int").alias("depth")), "depth")
-    found = pair(points, asked.hint("merge").join(depth.hint("merge"), "query_id"), _nearest(BITS, width, k), "query_id long, vec_id long, score double")
+        "query_id", F.coalesce(F.col("step") + ROOT, F.lit(0)).cast("int").alias("depth")), "depth")
+    hit = "query_id long, vec_id long, score double"
+    found = pair(points, asked.hint("merge").join(depth.where("depth > 0").hint("merge"), "query_id"), _nearest(BITS, width, k), hit)
+    wide = depth.where("depth = 0")
+    if wide.limit(1).count():
+        parts = max(1, -(-n // ARRAY))
+        one = [F.lit(0).alias("tree"), F.lit(0).cast("long").alias("cell")]
+        every = index.select(*one, F.pmod(F.xxhash64("vec_id"), F.lit(parts)).alias("salt"), F.lit(0).cast("long").alias("key"), "vec_id", F.col("embedding").alias("vector"))
+        seek = index.where("ask").select(F.col("vec_id").alias("query_id"), "embedding").hint("merge").join(wide.hint("merge"), "query_id")
+        seek = seek.select(*one, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("salt"), F.lit(0).cast("long").alias("key"), "query_id", "embedding", "depth")
+        found = found.unionByName(pair(every, seek, _nearest(BITS, width, k), hit))
     best = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     order = Window.partitionBy("query_id").orderBy("score", "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
