@@ -7,7 +7,10 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-IMAGE = Window.partitionBy("img")
+
+def whole():
+    """All pixels of an image. A function, as a window can't be made before there is a session."""
+    return Window.partitionBy("img")
 
 
 def grid(spark: SparkSession, height: int, width: int) -> DataFrame:
@@ -41,12 +44,12 @@ def fourier_mask(spark: SparkSession, height: int, width: int, low: float, high:
 
 def scale_range(df: DataFrame, low: float = 0, high: float = 1, eps: float = 1e-9) -> DataFrame:
     """Each image from its least value, over its largest, times the range."""
-    return df.withColumn("v", (F.col("v") - F.min("v").over(IMAGE)) * (high - low) / (F.max("v").over(IMAGE) + eps))
+    return df.withColumn("v", (F.col("v") - F.min("v").over(whole())) * (high - low) / (F.max("v").over(whole()) + eps))
 
 
 def scale_sum(df: DataFrame, total: float = 1.0, eps: float = 1e-9, subtract_min: bool = True) -> DataFrame:
-    out = df.withColumn("v", total * F.col("v") / (F.sum("v").over(IMAGE) + eps))
-    return out.withColumn("v", F.col("v") - F.min("v").over(IMAGE)) if subtract_min else out
+    out = df.withColumn("v", total * F.col("v") / (F.sum("v").over(whole()) + eps))
+    return out.withColumn("v", F.col("v") - F.min("v").over(whole())) if subtract_min else out
 
 
 def normalise(df: DataFrame, mean: float = 0, std: float = 1, by: tuple[str, ...] = ("img",)) -> DataFrame:
