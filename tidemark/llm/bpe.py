@@ -1,6 +1,8 @@
 """BPE encoding and decoding by a deterministic tokenization automaton compiled from the merges.
 
-Null text is an empty text: no tokens. Any length and any characters are encoded; nothing is truncated.
+Null text is an empty text: no tokens. Any length and any characters are encoded; nothing is truncated. One row a row,
+with its doc_id, null or repeated, as it stands. Of two merges that apply in one place the earlier in the file wins, as
+in the library. Other columns are ignored.
 """
 
 from __future__ import annotations

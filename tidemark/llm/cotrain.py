@@ -1,6 +1,13 @@
 """Quality classifier by co-training of a text-content view and a page-metadata view.
 
-Null and empty texts have the content features of an empty text; null metadata is a category of its own.
+Every unlabelled document takes part in the exchange: each round, each view scores all of them, and what it is sure of
+are the pseudo-labels it gives. Fits are on bounded samples of labelled and pseudo-labelled documents.
+
+Null and empty texts have the content features of an empty text; null metadata is a category of its own. Repeated rows
+score alike, each on its own. For fitting, a doc_id counts once: with the largest of its labels and, where it has
+several texts, the first in order of their features. Rows with a null doc_id are unlabelled. Where no row is labelled
+the score is 0.5. Ties in the order of a sample go to the smaller doc_id. Only doc_id, text, source, lang and n_chars
+are read.
 """
 
 from __future__ import annotations
@@ -13,14 +20,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.arrowtext import Words, blocks, per_text
-from tidemark.llm.boosting import BoostedTrees, Isotonic, fit_logistic, folds, sigmoid
+from tidemark.llm.boosting import BoostedTrees, Isotonic, fit_logistic, sigmoid
 from tidemark.llm.spool import Spool
 from tidemark.llm.toxicity import Features
 
-#: Bounds of the fit: labelled and unlabelled documents (expected numbers, taken by hash), and rounds of exchange.
-LABELLED, UNLABELLED, ROUNDS = 8_000, 8_000, 5
-#: A pseudo-label is given away at this probability, and to at most this share of the unlabelled sample a round.
-CONFIDENT, GIVEN = 0.95, 0.1
+#: Bounds of the fit: labelled documents, of which every CALIBRATION-th calibrates, pseudo-labelled documents a view is
+#: given in a round (both the first in order of a hash of their id), and rounds of exchange.
+LABELLED, CALIBRATION, PSEUDO, ROUNDS = 8_000, 4, 6_000, 3
+#: A pseudo-label is given away at this probability.
+CONFIDENT = 0.95
 BUCKETS = 64
 _LINES = np.arange(256) == 10
 
@@ -82,79 +90,89 @@ def _logit(p: np.ndarray) -> np.ndarray:
     return np.log(p / (1 - p))
 
 
-def exchange(content: np.ndarray, meta: np.ndarray, y: np.ndarray, u_content: np.ndarray, u_meta: np.ndarray, rounds: int = ROUNDS) -> tuple[BoostedTrees, np.ndarray, int]:
-    """Co-training: each round every view labels the unlabelled rows it is sure of, for the other view. Returns both classifiers and how many labels were given."""
-    given = [np.full(len(u_content), -1), np.full(len(u_content), -1)]  # labels received by the content and the metadata view
-    most = max(1, int(GIVEN * len(u_content)))
-    for turn in range(rounds + 1):
-        a, b = given[0] >= 0, given[1] >= 0
-        trees = BoostedTrees(trees=40).fit(np.concatenate([content, u_content[a]]), np.concatenate([y, given[0][a]]).astype(float))
-        weights = fit_logistic(np.concatenate([meta, u_meta[b]]), np.concatenate([y, given[1][b]]).astype(float))
-        if turn == rounds or not len(u_content):
-            return trees, weights, int(a.sum() + b.sum())
-        p = sigmoid(trees.raw(u_content)), sigmoid(np.column_stack([u_meta, np.ones(len(u_meta))]) @ weights)
-        for giver, taker in ((0, 1), (1, 0)):
-            sure = np.maximum(p[giver], 1 - p[giver])
-            free = np.flatnonzero((given[taker] < 0) & (sure >= CONFIDENT))
-            free = free[np.argsort(-sure[free], kind="stable")][:most]
-            given[taker][free] = p[giver][free] >= 0.5
-    raise AssertionError
-
-
-def _views(rows: DataFrame, columns: str, tail: str):
-    """Adds both views' features to (doc_id, text, source, lang, n_chars, ...tail)."""
+ROW = "content array<float>, source string, lang string, n_chars long"
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """(doc_id, content, source, lang, n_chars): both views of every row, a written table that fits and scores read."""
+    inputs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")), F.col("n_chars").cast("long").alias("n_chars"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         view = ContentView()
         for part, data, offsets in blocks(batches):
-            meta = metadata_features(list(zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)))
-            yield pa.RecordBatch.from_arrays([part.column(0), *part.columns[5:], pa.array(list(view(data, offsets))), pa.array(list(meta))], names=columns.split())
+            content = view(data, offsets).astype(np.float32)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(content), pa.list_(pa.float32())), *part.columns[2:]], names=["doc_id", "content", "source", "lang", "n_chars"])
 
-    return rows.mapInArrow(run, f"doc_id long, {tail}content array<double>, meta array<double>")
+    spool = Spool(docs.sparkSession)
+    return spool.cut(inputs.mapInArrow(run, f"doc_id long, {ROW}"), "features")
 
 
-def _inputs(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), *(F.col(c).cast("string").alias(c) for c in ("text", "source", "lang")), F.col("n_chars").cast("long").alias("n_chars"))
+def _columns(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """The two views of rows (doc_id, content, source, lang, n_chars)."""
+    content = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
+    return content, metadata_features(list(zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)))
 
 
-def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, unlabelled: int = UNLABELLED) -> Quality:
-    """``labels``: (doc_id, quality). Documents without a label serve as the unlabelled ones."""
-    spool = Spool(docs.sparkSession)
+def _with_one(x: np.ndarray) -> np.ndarray:
+    return np.column_stack([x, np.ones(len(x))])
+
+
+def _given(free: DataFrame, view: int, model: BoostedTrees | np.ndarray, limit: int) -> list[tuple]:
+    """(label, content, source, lang, n_chars) of unlabelled rows that one view (0: content, 1: metadata) is sure of: the first ``limit`` by hash of all."""
+    shared = free.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            if part.num_rows:
+                x = _columns(part)[view]
+                p = sigmoid(shared.value.raw(x) if view == 0 else _with_one(x) @ shared.value)
+                sure = pa.array(np.maximum(p, 1 - p) >= CONFIDENT)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array((p >= 0.5).astype(np.int32))], names=["doc_id", "content", "source", "lang", "n_chars", "label"]).filter(sure)
+
+    sure = free.mapInArrow(run, f"doc_id long, {ROW}, label int")
+    top = sure.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id", "content").limit(limit).collect()
+    return [(r["label"], r["content"], r["source"], r["lang"], r["n_chars"]) for r in top]
+
+
+def _arrays(rows: list[tuple], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    content = np.array([r[1] for r in rows], float).reshape(len(rows), width)
+    return content, metadata_features([r[2:] for r in rows]), np.array([r[0] for r in rows], float)
+
+
+def fit(table: DataFrame, labels: DataFrame, labelled: int = LABELLED, pseudo: int = PSEUDO, rounds: int = ROUNDS) -> Quality:
+    """``table``: from ``features``; ``labels``: (doc_id, quality). Rows without a label are the unlabelled ones."""
+    spool = Spool(table.sparkSession)
     labels = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.col("quality").cast("int")).alias("y"))
     labels = spool.cut(labels, "labels")
-    n, total = labels.count(), docs.count()
-    by_hash = lambda m, of: F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1_000_000)) < (min(1.0, m / of) if of > 0 else 0) * 1_000_000
-    texts = _inputs(docs).where("doc_id is not null")
-    picked = texts.where(by_hash(labelled, n) | by_hash(unlabelled, total - n)).hint("merge").join(labels.hint("merge"), "doc_id", "left")
-    kept = picked.where((F.col("y").isNotNull() & by_hash(labelled, n)) | (F.col("y").isNull() & by_hash(unlabelled, total - n)))
-    rows = sorted(((r["doc_id"], r["y"], r["content"], r["meta"]) for r in _views(kept, "doc_id y content meta", "y int, ").collect()), key=lambda r: (r[0], str(r[1])))
-    spool.drop("labels")
-    known, free = [r for r in rows if r[1] is not None], [r for r in rows if r[1] is None]
+    row = F.struct("content", "source", "lang", "n_chars")
+    known = table.hint("merge").join(labels.hint("merge"), "doc_id").groupBy("doc_id").agg(F.min(row).alias("row"), F.max("y").alias("y"))
+    top = known.orderBy(F.xxhash64(F.lit(9), "doc_id"), "doc_id").limit(labelled).collect()
+    free = spool.cut(table.hint("merge").join(labels.hint("merge"), "doc_id", "left_anti"), "free")
     width = len(ContentView()(np.zeros(0, np.uint8), np.zeros(2, np.int64))[0])
-    shape = lambda part, i, w: np.array([r[i] for r in part]).reshape(len(part), w)
-    content, meta, y = shape(known, 2, width), shape(known, 3, BUCKETS + 4), np.array([r[1] for r in known], float)
-    u_content, u_meta = shape(free, 2, width), shape(free, 3, BUCKETS + 4)
-    k = 3
-    raw, fold = np.zeros((2, len(y))), folds(len(y), k)
-    for i in range(k):
-        a, b = fold != i, fold == i
-        trees, weights, _ = exchange(content[a], meta[a], y[a], u_content, u_meta)
-        raw[0, b], raw[1, b] = trees.raw(content[b]), np.column_stack([meta[b], np.ones(b.sum())]) @ weights
-    calibrations = Isotonic().fit(raw[0], y), Isotonic().fit(raw[1], y)
-    blend = fit_logistic(np.column_stack([_logit(c(r)) for c, r in zip(calibrations, raw, strict=True)]), y)
-    trees, weights, _ = exchange(content, meta, y, u_content, u_meta)
+    content, meta, y = _arrays([(r["y"], *r["row"]) for r in top], width)
+    aside = np.arange(len(y)) % CALIBRATION == CALIBRATION - 1
+    own = content[~aside], meta[~aside], y[~aside]
+    trees, weights = BoostedTrees(trees=40).fit(own[0], own[2]), fit_logistic(own[1], own[2])
+    for _ in range(rounds if len(y) else 0):
+        by_content, by_meta = _arrays(_given(free, 0, trees, pseudo), width), _arrays(_given(free, 1, weights, pseudo), width)
+        trees = BoostedTrees(trees=40).fit(np.concatenate([own[0], by_meta[0]]), np.concatenate([own[2], by_meta[2]]))
+        weights = fit_logistic(np.concatenate([own[1], by_content[1]]), np.concatenate([own[2], by_content[2]]))
+    spool.drop("labels", "free")
+    if aside.sum() < 8:  # too few to set any aside
+        aside = np.ones(len(y), bool)
+    raw = trees.raw(content[aside]), _with_one(meta[aside]) @ weights
+    calibrations = Isotonic().fit(raw[0], y[aside]), Isotonic().fit(raw[1], y[aside])
+    blend = fit_logistic(np.column_stack([_logit(c(r)) for c, r in zip(calibrations, raw, strict=True)]), y[aside])
     return Quality(trees, weights, calibrations, blend)
 
 
-def score(docs: DataFrame, model: Quality) -> DataFrame:
-    """(doc_id, score): the probability of good quality."""
-    Spool(docs.sparkSession)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(table: DataFrame, model: Quality) -> DataFrame:
+    """(doc_id, score): the probability of good quality, one row a row. ``table``: from ``features``."""
+    shared = table.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        view = ContentView()
-        for part, data, offsets in blocks(batches):
-            meta = metadata_features(list(zip(*(part.column(i).to_pylist() for i in (2, 3, 4)), strict=True)))
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value(view(data, offsets), meta))], names=["doc_id", "score"])
+        for part in batches:
+            if part.num_rows:
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(shared.value(*_columns(part)))], names=["doc_id", "score"])
 
-    return _inputs(docs).mapInArrow(run, "doc_id long, score double")
+    return table.mapInArrow(run, "doc_id long, score double")

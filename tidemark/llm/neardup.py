@@ -2,6 +2,8 @@
 
 Text null, empty or of white space only: no shingles, the document is a class of its own. Texts of one to
 four words are one shingle, the whole text. Texts with equal word sequences are always one class.
+A repeated doc_id is one document in the result, linked to all that any of its texts is linked to. Rows with a null doc_id are returned with a null class: they are compared with none.
+Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -53,7 +55,8 @@ def bag_minhash(docs: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n_doc
     of rates 1, 1, 2, 4, ... A point has a time, a signature component and a place in its interval; it counts if its
     place is below the element's weight, so a shared element gives two texts the same points up to the smaller weight.
     A component holds its least time. Points are made in order of time, and only up to a limit by which a text expects
-    ln(size) + 3 points a component; texts with a component still empty go again with twice the limit.
+    ln(size) + 3 points a component; texts with a component still empty go again with twice the limit. Intervals are not
+    split further, as the limit already bounds the points of a text by size * (ln(size) + 3), whatever its weights.
     """
     out = np.full(n_docs * size, np.inf)
     total = np.bincount(docs, weights, n_docs)
@@ -139,7 +142,7 @@ def _linked(similarity: float):
         group = group.combine_chunks()
         ids, comp, d, own = (group.column(c).to_numpy() for c in ("b", "comp", "d", "own"))
         ask = (comp[:, None] != comp[None]) & (np.abs(d[:, None] - d[None]) <= 1 - similarity + 1e-9)
-        if group.column("i")[0].as_py() != group.column("j")[0].as_py():
+        if group.column("cross")[0].as_py():
             ask &= own[:, None] != own[None]
         n, label = len(ids), np.arange(len(ids))
         if ask.any():
@@ -178,15 +181,39 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: i
     1. Documents with the same word sequence are represented by the smallest id; only representatives go on.
     2. In each band bucket every representative is compared with the bucket's smallest id (a star, not all pairs).
     3. Members of one bucket that are still in different components are compared too, in blocks and by counting shared
-       shingles, except where the metric 1 - similarity shows from their distances to the star's centre that they
-       can't be linked. A block gives at most one row a member. So every linked pair that shares a bucket ends in
-       one class, whatever the size of its group.
-    Rows with a null doc_id are left out; a repeated doc_id counts once. Other columns are ignored.
+       shingles, except where their sizes, or by the metric 1 - similarity their distances to the star's centre, show
+       that they can't be linked. A block gives at most one row a member. So every linked pair that shares a bucket
+       ends in one class, whatever the size of its group.
     """
     spool = Spool(docs.sparkSession)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     schema = "doc_id long, n_words long, ka long, kb long, bands array<long>"
     signed_docs = spool.cut(texts.mapInArrow(_sign(bands, rows, size), schema), "signed")
+    if signed_docs.groupBy("doc_id").agg(F.min("ka").alias("lo"), F.max("ka").alias("hi")).where("lo < hi").limit(1).count():
+        spool.drop("signed")
+        out = _by_text(spool, texts, similarity=similarity, bands=bands, rows=rows, size=size)
+    else:
+        out = _classes(spool, texts, signed_docs, similarity, size)
+    n_words = F.size(F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")).cast("long")
+    nameless = docs.where("doc_id is null").select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), n_words.alias("n_words"))
+    return out.unionByName(nameless)
+
+
+def _by_text(spool: Spool, texts: DataFrame, **params) -> DataFrame:
+    """As ``near_duplicates`` where a doc_id has several texts: first for the texts, by numbers in order of doc_id, then for the documents."""
+    each = texts.withColumn("th", F.xxhash64("text")).dropDuplicates(["doc_id", "th"]).orderBy("doc_id", "th")
+    each = spool.cut(each.withColumn("number", F.monotonically_increasing_id()), "numbered")
+    found = spool.cut(near_duplicates(each.select(F.col("number").alias("doc_id"), "text"), **params), "by_text")
+    owner = each.select("number", F.col("doc_id").alias("owner"))
+    named = found.withColumnRenamed("doc_id", "number").hint("merge").join(owner.hint("merge"), "number")
+    first = owner.select(F.col("number").alias("class_id"), F.col("owner").alias("first"))
+    named = spool.cut(named.hint("merge").join(first.hint("merge"), "class_id").select("owner", "first", "n_words"), "named")
+    comp = components(spool, named.select(F.col("owner").alias("a"), F.col("first").alias("b")), "owners")
+    held = named.groupBy(F.col("owner").alias("doc_id")).agg(F.min("n_words").alias("n_words"))
+    return held.join(comp.withColumnRenamed("id", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("class_id"), "n_words")
+
+
+def _classes(spool: Spool, texts: DataFrame, signed_docs: DataFrame, similarity: float, size: int) -> DataFrame:
     key = F.when(F.col("n_words") > 0, F.lit(0)).otherwise(F.col("doc_id"))
     ids = signed_docs.select("doc_id", "n_words", "ka", "kb", key.alias("kc"))
     first = spool.cut(ids.groupBy("ka", "kb", "kc").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("last")), "first")
@@ -209,26 +236,56 @@ def near_duplicates(docs: DataFrame, *, similarity: float = SIMILARITY, bands: i
     # buckets whose members are not yet in one component
     placed = seats.hint("merge").join(comp.select(F.col("id").alias("b"), "comp").hint("merge"), "b", "left").select("band", "a", "b", F.coalesce("comp", "b").alias("comp"))
     placed = spool.cut(placed, "placed")
-    mixed = spool.cut(placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("a") != F.col("b")).alias("n")).where("lo < hi and n > 1").select("band", "n"), "mixed")
-    blocks_of = F.greatest(F.ceil(F.col("n") / BLOCK), F.lit(1)).cast("int").alias("blocks")
-    mine = F.pmod(F.xxhash64("b"), F.col("blocks")).cast("int")
-    open_seats = placed.where("a < b").hint("merge").join(mixed.select("band", blocks_of).hint("merge"), "band").join(known.hint("merge"), ["a", "b"])
-    dealt = open_seats.select("band", "b", "comp", (1 - F.col("s")).alias("d"), mine.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    dealt = dealt.select("band", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "b", "comp", "d")
-    bag = held.select(F.col("doc_id").alias("b"), "bag")
-    more = dealt.hint("merge").join(bag.hint("merge"), "b").groupBy("band", "i", "j").applyInArrow(_linked(similarity), "a long, b long")
-    more = spool.cut(more.distinct(), "more")
-    if more.limit(1).count():
-        comp = components(spool, edges.unionByName(more), "c2")
+    mixed = spool.cut(placed.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("a") != F.col("b")).alias("n")).where("lo < hi and n > 1").select("band"), "mixed")
+    spool.drop("pairs", "seats", "wanted")
+    if mixed.limit(1).count():
+        open_seats = placed.where("a < b").hint("merge").join(mixed.hint("merge"), "band").join(known.hint("merge"), ["a", "b"])
+        more = _compared(spool, open_seats.select("band", "b", "comp", (1 - F.col("s")).alias("d"), "z"), held, similarity)
+        if more.limit(1).count():
+            comp = components(spool, edges.unionByName(more), "c2")
     classes = comp.select(F.col("id").alias("rep"), F.col("comp").alias("class_id"))
     out = member.hint("merge").join(classes.hint("merge"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), "n_words")
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("n_words").alias("n_words"))
 
 
+def _compared(spool: Spool, open_seats: DataFrame, held: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): links between the members of buckets that are still in different components.
+
+    A link needs distances to the star's centre that differ by 1 - similarity at most, and sizes of which the smaller is
+    at least that share of the larger. So members are put in cells of these widths, and only a cell's own members and
+    those of its neighbours are compared, in blocks, where they are not all of one component already. A member goes to
+    as many tasks as its cell and the neighbours have blocks, before its shingles are looked up.
+    """
+    near, step = 1 - similarity + 1e-6, float(np.log(1 / similarity)) + 1e-6
+    at = ["band", "db", "zb"]
+    seats = spool.cut(open_seats.select("band", "b", "comp", "d", F.floor(F.col("d") / near).alias("db"), F.floor(F.ln(F.greatest("z", F.lit(1))) / step).alias("zb")), "open")
+    cells = spool.cut(seats.groupBy(*at).agg(F.count("*").alias("n"), F.min("comp").alias("lo"), F.max("comp").alias("hi")), "cells")
+    blocks_of = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    step_to = F.explode(F.array(*(F.struct(F.lit(k).alias("off"), F.lit(y).alias("y"), F.lit(x).alias("x")) for k, (y, x) in enumerate(((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))))))
+    one = cells.select("*", step_to.alias("to")).select(*at, "n", "lo", "hi", "to.off", (F.col("db") + F.col("to.y")).alias("db2"), (F.col("zb") + F.col("to.x")).alias("zb2"))
+    two = cells.select("band", F.col("db").alias("db2"), F.col("zb").alias("zb2"), F.col("n").alias("n2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    pairs = one.join(two, ["band", "db2", "zb2"]).where(F.least("lo", "lo2") < F.greatest("hi", "hi2"))
+    pairs = spool.cut(pairs.select(*at, "off", "db2", "zb2", blocks_of("n").alias("m"), blocks_of("n2").alias("m2")), "cell_pairs")
+    group = [*at, "off", "i", "j"]
+    own = lambda m: F.pmod(F.xxhash64("b"), F.col(m)).cast("int")
+    every = lambda m: F.explode(F.sequence(F.lit(0), F.col(m) - 1))
+    inner = seats.hint("merge").join(pairs.where("off = 0").hint("merge"), at).select(*at, "off", "b", "comp", "d", own("m").alias("own"), every("m").alias("other"))
+    inner = inner.select(*at, "off", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "b", "comp", "d", "own")
+    left = seats.hint("merge").join(pairs.where("off > 0").hint("merge"), at).select(*at, "off", own("m").alias("i"), every("m2").alias("j"), "b", "comp", "d", F.lit(0).alias("own"))
+    other = seats.select("band", F.col("db").alias("db2"), F.col("zb").alias("zb2"), "b", "comp", "d")
+    right = other.hint("merge").join(pairs.where("off > 0").hint("merge"), ["band", "db2", "zb2"]).select(*at, "off", every("m").alias("i"), own("m2").alias("j"), "b", "comp", "d", F.lit(1).alias("own"))
+    dealt = inner.unionByName(left).unionByName(right).withColumn("cross", (F.col("off") > 0) | (F.col("i") != F.col("j")))
+    bag = held.select(F.col("doc_id").alias("b"), "bag")
+    more = dealt.hint("merge").join(bag.hint("merge"), "b").groupBy(*group).applyInArrow(_linked(similarity), "a long, b long")
+    more = spool.cut(more.distinct(), "more")
+    spool.drop("open", "cells", "cell_pairs")
+    return more
+
+
 def _measured(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """(a, b, s): the weighted Jaccard similarity of each pair, exact on shingle hashes."""
+    """(a, b, s, z): the weighted Jaccard similarity of each pair, exact on shingle hashes, and the size of b's bag."""
     one = held.select(F.col("doc_id").alias("b"), F.col("bag").alias("bag_b")).hint("merge")
     two = held.select(F.col("doc_id").alias("a"), F.col("bag").alias("bag_a")).hint("merge")
     both = F.size(F.array_intersect("bag_a", "bag_b"))
     met = pairs.hint("merge").join(one, "b").join(two, "a")
-    return met.select("a", "b", F.try_divide(both, F.size("bag_a") + F.size("bag_b") - both).alias("s"))
+    return met.select("a", "b", F.try_divide(both, F.size("bag_a") + F.size("bag_b") - both).alias("s"), F.size("bag_b").alias("z"))

@@ -1,7 +1,9 @@
 """Best-fit packing: length patterns fitted to the length histogram by non-negative least squares, residuals best-fit.
 
 A null or empty text is the end id alone. Documents longer than the capacity are cut into full pieces, the first of
-which may be shorter; nothing else is cut. Repeated rows are packed like others.
+which may be shorter; nothing else is cut. Repeated rows, and rows with a null doc_id, are packed like others, each on
+its own. Pieces of one length are dealt to the places of that length in order of a hash of doc_id and piece, then of
+doc_id, piece and content; rows equal in all of these may change places. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,7 +63,10 @@ def pieces(docs: DataFrame, path: str, capacity: int = CAPACITY) -> DataFrame:
 
 
 def patterns(lengths: np.ndarray, capacity: int, near: int = 3) -> list[tuple[int, ...]]:
-    """Multisets of one to four of the given lengths that nearly fill the capacity, longest first."""
+    """Multisets of one to eight of the given lengths that nearly fill the capacity, longest first.
+
+    A length, none to six copies of one of a few probe lengths, and one of the lengths that fit the rest best.
+    """
     lengths = np.sort(lengths)
     probes = np.unique(lengths[np.linspace(0, len(lengths) - 1, min(24, len(lengths))).astype(int)])
     found: set[tuple[int, ...]] = set()
@@ -77,56 +82,70 @@ def patterns(lengths: np.ndarray, capacity: int, near: int = 3) -> list[tuple[in
         close((a,))
         if 2 * a < capacity:
             close((a, a))
-        for b in map(int, probes):
-            if a + b < capacity:
-                close((a, b))
-                if a + 2 * b < capacity:
-                    close((a, b, b))
+        for i, b in enumerate(map(int, probes)):
+            for m in range(1, 3 if i % 3 else 7):
+                if a + m * b >= capacity:
+                    break
+                close((a, *[b] * m))
     return sorted(found, reverse=True)
 
 
-def fit(histogram: dict[int, int], shapes: list[tuple[int, ...]], sweeps: int = 30) -> np.ndarray:
-    """Non-negative x that least-squares fits sum(x * shape) to the histogram, by coordinate descent from the fullest shapes."""
+def fit(histogram: dict[int, int], shapes: list[tuple[int, ...]], sweeps: int = 40) -> np.ndarray:
+    """Non-negative x that least-squares fits sum(x * shape) to the histogram, by coordinate descent from the fullest shapes.
+
+    Every fifth sweep goes over all shapes, so one that was at zero can come back; those between go over the ones in use.
+    """
     left = np.zeros(max(histogram, default=0) + 1)
     for length, n in histogram.items():
         left[length] = n
     terms = [(np.array(list(c)), np.array(list(c.values()), float)) for c in map(Counter, shapes)]
     norm = [float((m * m).sum()) for _, m in terms]
-    order = sorted(range(len(shapes)), key=lambda i: (-sum(shapes[i]), len(shapes[i])))
-    x = np.zeros(len(shapes))
-    for _ in range(sweeps):
-        moved = 0.0
-        for i in order:
+    every = sorted(range(len(shapes)), key=lambda i: (-sum(shapes[i]), len(shapes[i])))
+    x, used = np.zeros(len(shapes)), every
+    for turn in range(sweeps):
+        moved, whole = 0.0, turn % 5 == 0
+        for i in every if whole else used:
             at, m = terms[i]
             new = max(0.0, x[i] + float(m @ left[at]) / norm[i])
             if (step := new - x[i]) != 0:
                 left[at] -= step * m
                 x[i] = new
                 moved = max(moved, abs(step))
-        order = [i for i in order if x[i] > 0] if _ % 5 else order
-        if moved < 0.05:
+        used = [i for i in every if x[i] > 0]
+        if whole and moved < 0.05:
             break
     return x
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """(lengths in one sequence, how many such sequences): covers the histogram exactly.
+def by_patterns(left: dict[int, int], capacity: int = CAPACITY, rounds: int = 4, spare: int = 8) -> Counter:
+    """How often each pattern is used; what it places is taken from ``left``.
 
-    Works on counts, so its cost depends on the number of different lengths (at most ``capacity``), not on the documents.
+    The fitted counts are rounded, the largest first and never beyond what is left of a length. What rounding leaves is
+    fitted again, with patterns of the lengths that are left and counts rounded up.
     """
-    left = {k: n for k, n in histogram.items() if n > 0 and k < capacity}
-    out = Counter({(capacity,): histogram.get(capacity, 0)}) if histogram.get(capacity) else Counter()
-    if left:
-        shapes = [s for s in patterns(np.array(list(left)), capacity) if sum(s) >= capacity - 8 and len(s) > 1]
-        # a sequence that the fit repeats x times is used floor(x) times; what rounding and the fit leave is packed below
-        for shape, x in sorted(zip(shapes, fit(left, shapes), strict=True), key=lambda p: (-sum(p[0]), -p[1], p[0])):
+    out: Counter = Counter()
+    for turn in range(rounds):
+        shapes = [s for s in patterns(np.array(list(left)), capacity) if sum(s) >= capacity - spare and len(s) > 1] if left else []
+        placed = 0
+        for shape, x in sorted(zip(shapes, fit(left, shapes), strict=True), key=lambda p: (-p[1], -sum(p[0]), p[0])):
+            if x <= 0:
+                break
             need = Counter(shape)
-            times = min(int(x), *(left[k] // m for k, m in need.items()))
+            times = min(int(x + 0.5) if turn == 0 else int(np.ceil(x)), *(left.get(k, 0) // m for k, m in need.items()))
             if times > 0:
                 out[shape] += times
+                placed += times
                 for k, m in need.items():
                     left[k] -= m * times
-    # best fit decreasing on counts: bins of equal content are one entry
+                    if not left[k]:
+                        del left[k]
+        if not placed:
+            break
+    return out
+
+
+def best_fit(left: dict[int, int], capacity: int = CAPACITY) -> Counter:
+    """Best fit decreasing on counts: bins of equal content are one entry."""
     bins: dict[int, Counter] = defaultdict(Counter)
     for length in sorted((k for k, n in left.items() if n > 0), reverse=True):
         n = left[length]
@@ -149,8 +168,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
                 if not source[content]:
                     del source[content]
             bins[room - put * length][content + (length,) * put] += times
+    out: Counter = Counter()
     for b in bins.values():
         out.update(b)
+    return out
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """(lengths in one sequence, how many such sequences): covers the histogram exactly.
+
+    Works on counts, so its cost depends on the number of different lengths (at most ``capacity``), not on the documents.
+    """
+    left = {k: n for k, n in histogram.items() if n > 0 and k < capacity}
+    out = Counter({(capacity,): histogram.get(capacity, 0)})
+    out.update(by_patterns(left, capacity))
+    out.update(best_fit(left, capacity))
     return sorted((s, n) for s, n in out.items() if n)
 
 

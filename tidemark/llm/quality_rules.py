@@ -1,6 +1,7 @@
 """Quality rules as a bitmask ledger: every rule is evaluated once, policies are masks applied to the stored bits.
 
-DataFrame functions only. Null text counts as an empty text. Words are ``[^\\x20\\x09-\\x0D]+``.
+DataFrame functions only. Null text counts as an empty text. Words are ``[^\\x20\\x09-\\x0D]+``. One row a row, with its
+doc_id, null or repeated, as it stands; a rule at its limit doesn't fail. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations

@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import annforest, bpe, cotrain, langid, neardup, packing, passages, quality_rules, secret_scan, toxicity
-from tidemark.llm.spool import Spool
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,8 +42,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
-    model = cotrain.fit(docs, labels.where(~_remainder(4, 3)))
-    scored = cotrain.score(docs, model)
+    table = cotrain.features(docs)
+    scored = cotrain.score(table, cotrain.fit(table, labels.where(~_remainder(4, 3))))
     return scored.select("doc_id", _remainder(4, 3).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
@@ -60,10 +59,7 @@ def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
-    spans = Spool(spark).cut(passages.repeated_spans(docs), "spans")
-    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
-    kept = passages.kept_words(docs, spans).select("doc_id", "kept_sha256")
-    return spans.select("doc_id", "n_words", removed.alias("n_removed")).join(kept, "doc_id")
+    return passages.kept_words(docs, passages.repeated_spans(docs)).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,7 +1,8 @@
 """Secret scans by multipart credential linking, with DataFrame functions only.
 
-Positions are code points of the text; null text is empty. Rows with a null doc_id are left out; rows that repeat a
-doc_id with the same text count once, with another text they stay rows of their own.
+Positions are code points of the text; null text is empty. Every row is judged by its own text, whatever its doc_id,
+null ids and repeated ones included; rows equal in doc_id and text get equal results. Spans are ordered by start, those
+of one start by kind. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tidemark.llm.spool import Spool
+from tidemark.llm.spool import BROADCAST_BYTES, Spool
 
 #: Parts of one credential start within so many code points of each other.
 SCOPE = 400
@@ -42,7 +43,7 @@ def scan(docs: DataFrame) -> DataFrame:
     text = F.col("text")
     low = F.lower(text)
     named = reduce(lambda a, b: a | b, (low.contains(w) for w in ("password", "passwd", "secret", "token", "apikey", "api_key")))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     akia = text.contains("AKIA")
     some = base.withColumn("named", named).withColumn("akia", akia)
     part = F.col("named") | F.col("akia") | text.rlike("(?:ASIA|AIDA|AROA)[A-Z0-9]")
@@ -92,24 +93,42 @@ def linked(parts: DataFrame) -> DataFrame:
     within = lambda r: F.coalesce(
         ((F.col("cell") == F.col("own")) & F.col(f"{r}_lo").isNotNull())
         | (F.abs(F.col(f"{r}_lo") - F.col("start")) <= SCOPE) | (F.abs(F.col(f"{r}_hi") - F.col("start")) <= SCOPE), F.lit(False))
-    met = near.join(cells, ["doc_id", "h", "cell"]).groupBy("doc_id", "h", "kind", "start", "end").agg(
-        F.max(within("access")).alias("access"), F.max(within("secret")).alias("secret"))
+    same = F.col("l.doc_id").eqNullSafe(F.col("r.doc_id")) & (F.col("l.h") == F.col("r.h")) & (F.col("l.cell") == F.col("r.cell"))
+    joined = near.alias("l").join(cells.alias("r"), same).select("l.*", *(f"r.{r}_{n}" for r in ("access", "secret") for n in ("lo", "hi")))
+    met = joined.groupBy("doc_id", "h", "kind", "start", "end").agg(F.max(within("access")).alias("access"), F.max(within("secret")).alias("secret"))
     need = F.when(F.col("kind") == "endpoint", F.col("access") & F.col("secret")).when(F.col("kind") == "weak_access", F.col("secret")).otherwise(F.col("access"))
     return met.where(need).select("doc_id", "h", "kind", "start", "end")
 
 
-def find_secrets(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, found): found is an array of (start, rank, end, kind) in order of start, then of KINDS; empty where nothing is found."""
+def hits(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, found) of the texts in which something is found: an array of (start, rank, end, kind) in order of start, then of KINDS. A written table."""
     spool = Spool(docs.sparkSession)
-    scanned = spool.cut(scan(docs), "scanned")
-    parts = spool.cut(located(scanned), "parts")
+    scanned = scan(docs)
+    some = scanned.where(F.greatest(*(F.coalesce(F.size(c), F.lit(0)) for c in scanned.columns[2:])) > 0).dropDuplicates(["doc_id", "h"])
+    parts = spool.cut(located(spool.cut(some, "scanned")), "parts")
     strong = parts.where(F.col("kind").isin(*KINDS[:3]))
     every = strong.unionByName(linked(parts)).distinct()
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     found = every.groupBy("doc_id", "h").agg(F.array_sort(F.collect_list(F.struct("start", rank.alias("rank"), "end", "kind"))).alias("found"))
-    ids = scanned.select("doc_id", "h").distinct()
+    found = spool.cut(found, "found")
+    spool.drop("scanned", "parts")
+    return found
+
+
+def with_found(docs: DataFrame, hits: DataFrame, name: str = "found") -> DataFrame:
+    """Adds what ``hits`` has for each row's doc_id and text, null where nothing is found."""
+    held = hits.agg(F.coalesce(F.sum(F.size("found") * 40 + 32), F.lit(0)).alias("n")).first()["n"]
+    left, right = docs.alias("l"), hits.alias("r")
+    left, right = (left, F.broadcast(right)) if held <= BROADCAST_BYTES else (left.hint("merge"), right.hint("merge"))
+    h = F.xxhash64(F.coalesce(F.col("l.text").cast("string"), F.lit("")))
+    return left.join(right, F.col("l.doc_id").cast("long").eqNullSafe(F.col("r.doc_id")) & (h == F.col("r.h")), "left").select("l.*", F.col("r.found").alias(name))
+
+
+def find_secrets(docs: DataFrame) -> DataFrame:
+    """(doc_id, found), one row a row; found is empty where nothing is found."""
     empty = F.array().cast("array<struct<start:bigint,rank:int,end:bigint,kind:string>>")
-    return ids.join(spool.cut(found, "found"), ["doc_id", "h"], "left").select("doc_id", "h", F.coalesce("found", empty).alias("found"))
+    each = with_found(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), hits(docs))
+    return each.select("doc_id", F.coalesce("found", empty).alias("found"))
 
 
 def listed(found: Column) -> Column:

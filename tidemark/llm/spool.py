@@ -16,9 +16,13 @@ BROADCAST_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a fresh temporary one only where the session names none (tests)."""
+    """The folder in ``spark.checkpoint.dir``. Where the session names none, a fresh temporary one if all of Spark is one
+    local process (tests); on a cluster executors would not see each other's files, so that is an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='tidemark-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at

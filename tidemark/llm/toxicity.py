@@ -1,6 +1,8 @@
 """Toxicity: gradient-boosted trees over dense lexical features, with isotonic calibration.
 
-Null and empty texts have all features zero and get the model's score for that. Only ``text`` is an input of a score.
+Null and empty texts have all features zero and get the model's score for that. Only ``text`` is an input of a score, so
+repeated rows score alike, each on its own. For fitting, a doc_id counts once: with the largest of its labels and, where
+it has several texts, the first in order. Where no row is labelled the score is 0. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -125,8 +127,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, lear
     share = min(1.0, sample_docs / n) if n else 0
     picked = labels.where(F.pmod(F.xxhash64(F.lit(5), "doc_id"), F.lit(1_000_000)) < share * 1_000_000)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    train = spool.cut(texts.join(F.broadcast(picked), "doc_id"), "train")  # at most about sample_docs rows of two numbers
-    words = train.select("toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}{2,24}', 0)"))).alias("word"))
+    train = texts.join(F.broadcast(picked), "doc_id")  # at most about sample_docs rows of two numbers
+    train = spool.cut(train.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "train")
+    words = train.select("toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}{2,}', 0)"))).alias("word"))
     seen = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
     sums = train.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
     bad, total = sums["bad"] or 0, sums["n"]
