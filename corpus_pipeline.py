@@ -1,7 +1,8 @@
 """The corpus pipeline: toxicity, near-duplicates, repeated passages, secrets, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that the stage before it kept. All but the last return the
-columns of documents.
+columns of documents, those it doesn't know as they stand, whatever their names. No stage loses a row for a null in any
+column; what null and repeated doc_ids mean is said at each stage.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import neardup, packing, passages, secret_scan, toxicity
-from tidemark.llm.spool import BROADCAST_BYTES, Spool, keep_matching
+from tidemark.llm.spool import BROADCAST_BYTES, Spool
 
 #: Documents at this score and above are rejected; operator 6 predicts toxic from the same score.
 TOXIC = 0.3
@@ -38,6 +39,8 @@ def _with_text(docs: DataFrame, text, columns: list[str]) -> DataFrame:
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score TOXIC and above go. Every row is judged by its own text, so equal texts share their fate, whatever
+    their doc_ids, null ones included; a score of exactly TOXIC goes. Null and empty texts score like a text without words."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return toxicity.filtered(docs, model, TOXIC)
 
@@ -70,31 +73,31 @@ def _drop_by_text(spool: Spool, docs: DataFrame) -> DataFrame:
 
 
 def cut_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated passages go; a document of which no word is left goes whole."""
-    spool = Spool(spark)
-    spans = spool.cut(passages.repeated_spans(docs).where(F.size("spans") > 0), "spans")
-    touched = passages.kept_words(keep_matching(docs.select("doc_id", "text"), spans.select("doc_id"), "doc_id"), spans)
-    kept = _fresh(docs, "_kept")[0]
-    touched = spool.cut(touched.select("doc_id", F.col("kept").alias(kept)).dropDuplicates(["doc_id"]), "kept")
-    small = touched.count() * 4096 <= BROADCAST_BYTES
-    joined = docs.hint("merge").join(F.broadcast(touched) if small else touched.hint("merge"), "doc_id", "left")
-    joined = joined.where(F.col(kept).isNull() | (F.col(kept) != ""))
-    return _with_text(joined, F.coalesce(F.col(kept), F.col("text")), docs.columns)
+    """Words in passages that start in a document with a smaller doc_id go; a row of which no word is left goes whole.
+
+    Rows are judged by doc_id and text: rows equal in both keep the same words, other texts of one doc_id are judged on
+    their own, and what recurs only under one doc_id stays. Rows with a null doc_id or text stay as they are.
+    """
+    name = _fresh(docs, "_spans")[0]
+    joined = passages.with_spans(docs, passages.repeated_spans(docs), name)
+    spans, words = F.col(name), F.size(F.filter(F.split("text", passages.SPACE), lambda w: w != ""))
+    whole = F.when((F.size(spans) == 1) & (spans[0]["first"] == 0), spans[0]["last"] >= words).otherwise(F.lit(False))
+    left = joined.where(spans.isNull() | ~whole)
+    return _with_text(left, F.when(spans.isNull(), F.col("text")).otherwise(passages.without(F.col("text"), spans)), docs.columns)
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    spool = Spool(spark)
-    h, found = _fresh(docs, "_h", "_found")
-    hits = secret_scan.find_secrets(docs.select("doc_id", "text")).where(F.size("found") > 0)
-    hits = spool.cut(hits.select("doc_id", F.col("h").alias(h), F.col("found").alias(found)), "found")
-    keyed = docs.withColumn(h, F.xxhash64(F.coalesce("text", F.lit(""))))
-    small = hits.count() * 400 <= BROADCAST_BYTES
-    joined = keyed.join(F.broadcast(hits) if small else hits.hint("merge"), ["doc_id", h], "left")
-    text = F.when(F.col(found).isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col(found)))
+    """Every secret's span becomes a mark, overlapping spans one mark. All rows stay; each is judged by its own text, so
+    null and repeated doc_ids make no difference, and a null text stays null."""
+    name = _fresh(docs, "_found")[0]
+    joined = secret_scan.with_found(docs, secret_scan.hits(docs), name)
+    text = F.when(F.col(name).isNull(), F.col("text")).otherwise(secret_scan.redacted(F.col("text"), F.col(name)))
     return _with_text(joined, text, docs.columns)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of every row's tokens, placed in sequences. Null and empty texts are the end id alone; repeated rows and
+    rows with a null doc_id are packed like others."""
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
@@ -106,8 +109,8 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", pack_sequences),
 ]
 
-#: Trained and tokenizing stages have no SQL form. Tests hold the rows that the first two stages keep on small tables; of the
-#: others they check only column names and that packed sequences fit.
+#: Trained and tokenizing stages have no SQL form. tests/llm holds the rows and texts of the stages after the model's score
+#: against brute-force versions on small tables.
 ORACLE_SQL = None
 
 
