@@ -68,6 +68,8 @@ def test_against_windows(spark, tmp_path, monkeypatch, seed, shard, automaton, s
 
 
 def test_an_automaton_matches_whole_words():
-    machine, letters = passages.compiled([b"a b c", b"b c d"])
-    line = "".join(letters.get(w, "\0") for w in b"x a b c d ab c d".split())
-    assert [e for e, _ in machine.iter(line)] == [3, 4]
+    machine, spelt = passages.compiled([b"a b c", b"b c d"])
+    assert passages.occurrences(machine, spelt, b"x a b c d ab c d".split()).tolist() == [3, 4]
+    many = [b" ".join(b"%d" % (i + k) for k in range(3)) for i in range(5000)]
+    machine, spelt = passages.compiled(many)
+    assert passages.occurrences(machine, spelt, b"0 1 2 3 x 4999 5000 5001 64 65".split()).tolist() == [2, 3, 7]

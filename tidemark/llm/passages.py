@@ -25,7 +25,9 @@ WINDOW = 50
 #: Words of a phrase. Each window of WINDOW words holds at least one chosen phrase, whatever the text.
 PHRASE = 8
 #: Phrases of a shard (expected number) and of one automaton, and bytes of text that a shard's automaton reads in one task.
-SHARD, AUTOMATON, TASK_BYTES = 32_000, 64_000, 8 << 20
+SHARD, AUTOMATON, TASK_BYTES = 32_000, 32_000, 8 << 20
+#: Letters of each of the three alphabets that spell a word: DIGITS ** 3 is more than AUTOMATON * PHRASE.
+DIGITS = 64
 SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -97,45 +99,59 @@ def _spelt(window: int, phrase: int):
 
 
 def compiled(phrases: list[bytes]) -> tuple[ahocorasick.Automaton, dict[bytes, str]]:
-    """An automaton over words: every different word of the phrases is one letter of its alphabet, so a match is one of whole words."""
-    letters: dict[bytes, str] = {}
+    """An automaton over words, and how words are spelt in it.
+
+    Every different word of the phrases is a number, written as three digits of alphabets of their own, so a match is one
+    of whole words and no node has many children, which the library looks through one by one.
+    """
+    spelt: dict[bytes, str] = {}
     machine = ahocorasick.Automaton()
     for p in phrases:
-        spelt = []
+        line = []
         for w in p.split(b" "):
-            if w not in letters:
-                at = len(letters) + 1
-                letters[w] = chr(at if at < 0xD800 else at + 0x800)
-            spelt.append(letters[w])
-        machine.add_word("".join(spelt), True)
+            if w not in spelt:
+                n = len(spelt)
+                spelt[w] = chr(1 + n % DIGITS) + chr(1 + DIGITS + n // DIGITS % DIGITS) + chr(1 + 2 * DIGITS + n // DIGITS**2)
+            line.append(spelt[w])
+        machine.add_word("".join(line), True)
     if phrases:
         machine.make_automaton()
-    return machine, letters
+    return machine, spelt
+
+
+def occurrences(machine: ahocorasick.Automaton, spelt: dict[bytes, str], words: list[bytes]) -> np.ndarray:
+    """The last word of every occurrence."""
+    line = [spelt.get(w, "\0") for w in words]
+    ends = np.fromiter((e for e, _ in machine.iter("".join(line))), np.int64)
+    return np.searchsorted(np.cumsum(np.fromiter(map(len, line), np.int64, len(line))), ends, "right") if len(ends) else ends
 
 
 def _locate(window: int, phrase: int, automaton: int):
-    """Compiles a shard's automata, streams the documents through them, and gives the window hashes around every occurrence."""
+    """Compiles a shard's automata, streams the documents through them, and gives the hashes of the windows whose chosen phrase occurs there.
+
+    A window that recurs has its chosen phrase, the one with the least hash, in one shard: it is given there and nowhere else.
+    """
+    span, none = window - phrase + 1, np.uint64(0xFFFFFFFFFFFFFFFF)
 
     def run(phrases: pa.Table, texts: pa.Table) -> pa.Table:
-        spelt = sorted(set(phrases.column("words").to_pylist()))
-        machines = [compiled(spelt[lo : lo + automaton]) for lo in range(0, len(spelt), automaton)]
+        every = sorted(set(phrases.column("words").to_pylist()))
+        machines = [compiled(every[lo : lo + automaton]) for lo in range(0, len(every), automaton)]
         out = []
         for rows, data, offsets in blocks(iter(texts.to_batches())) if machines else ():
             words, raw = Words(data, offsets), data.tobytes()
-            mark = np.zeros(len(words.hashes) + 1, np.int64)
+            met = np.zeros(len(words.hashes), bool)
             for first, n, a, b in zip(words.first.tolist(), words.counts.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=False):
-                if n < window:
-                    continue
-                each = raw[a:b].split()
-                for machine, letters in machines:
-                    line = "".join([letters.get(w, "\0") for w in each])
-                    last = np.fromiter((e for e, _ in machine.iter(line)), np.int64)
-                    lo, hi = np.maximum(last - window + 1, 0), np.minimum(last - phrase + 1, n - window)
-                    good = lo <= hi
-                    np.add.at(mark, first + lo[good], 1)
-                    np.add.at(mark, first + hi[good] + 1, -1)
-            starts = np.flatnonzero(np.cumsum(mark)[:-1] > 0)
-            doc = words.docs[starts]
+                if n >= window:
+                    each = raw[a:b].split()
+                    for machine, spelt in machines:
+                        met[first + occurrences(machine, spelt, each) - (phrase - 1)] = True
+            docs, at, hashes = words.windows(phrase)
+            if len(hashes) < span:
+                continue
+            least = _slide(hashes, span, np.minimum)
+            found = _slide(np.where(met[at], hashes, none), span, np.minimum) == least
+            here = np.flatnonzero(found & (docs[: len(least)] == docs[span - 1 :]))
+            starts, doc = at[here], docs[here]
             ids, th = (rows.column(rows.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("doc_id", "th"))
             a = range_hash(words.hashes, starts, starts + window)
             b = range_hash(mix(words.hashes), starts, starts + window)
@@ -168,8 +184,8 @@ def repeated_spans(docs: DataFrame, *, window: int = WINDOW, phrase: int = PHRAS
        its phrases, and a shard's documents are dealt over as many tasks as their bytes need, each with the shard's
        automaton; so a phrase that a third of the documents share is dealt with the documents, and the work grows with
        the text. (Every shard over every document would be shards x documents, the square of the input.)
-    4. The automata locate every occurrence; the windows around them are hashed to 96 bits, and each window's smallest
-       document is a partially aggregated minimum.
+    4. The automata locate every occurrence; the windows of which one is the chosen phrase are hashed to 96 bits, and
+       each window's smallest document is a partially aggregated minimum.
     """
     spool = Spool(docs.sparkSession)
     texts = texts_of(docs).where("doc_id is not null")
