@@ -1,14 +1,8 @@
-"""Queries over all rows, against SQL and against brute force on small tables that take several blocks."""
+"""Operators over all vectors against brute force on small tables that take several blocks."""
 
-import os
-
-import duckdb
 import numpy as np
 import pytest
 
-DATA = "/root/testdata/sf0.001"
-needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-
 
 @pytest.fixture(scope="module")
 def small(spark):
@@ -20,23 +14,6 @@ def small(spark):
     return rows, spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
 
 
-def equal_to_sql(spark, name):
-    from tidemark import queries
-
-    con = duckdb.connect()
-    con.execute(f"create view embeddings as select * from '{DATA}/embeddings.parquet'")
-    want = con.sql(queries.ORACLES[name]).df()
-    got = queries.QUERIES[name](spark, DATA).toPandas()[list(want.columns)]
-    got, want = (np.array(sorted(map(tuple, f.astype(float).to_numpy()))) for f in (got, want))
-    assert got.shape == want.shape and np.allclose(got, want, atol=2e-6, rtol=1e-9, equal_nan=True)
-
-
-@needs_data
-@pytest.mark.parametrize("name", ["cluster_similarity_all", "cosine_pairs_all", "knn_topk_all"])
-def test_equals_sql(spark, name):
-    equal_to_sql(spark, name)
-
-
 def test_cluster_similarity_of_vectors(spark, small):
     from tidemark.operators import matrix as M
 

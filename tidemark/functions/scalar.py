@@ -32,10 +32,10 @@ def logistic(x: Column, a: float = 0, k: float = 1, b: float = 1, v: float = 1,
     return a + (k - a) / F.pow(c + q * F.exp(-b * (x - mu)), 1 / v)
 
 
-def linex(x: Column, a: float = 1, b: float = 1, mu: float = 0) -> Column:
-    """Linear-exponential loss b * (exp(a d) - a d - 1)."""
-    d = a * (x - mu)
-    return b * (F.exp(d) - d - 1)
+def linex(x: Column, mu: float = 1, a: float = 1, b: float = 1, c: float = 1, d: float = 1, e: float = 1, f: float = 1, g: float = 1) -> Column:
+    """Linear-exponential loss about mu: a (b exp(c u)^d - e u^f - 1)^g with u = x - mu."""
+    u = x - mu
+    return a * F.pow(b * F.exp(c * d * u) - e * F.pow(u, F.lit(float(f))) - 1, F.lit(float(g)))
 
 
 def log_spaced(i: Column, start: float, stop: float, n: int) -> Column:
@@ -98,22 +98,23 @@ def is_hex(s: Column) -> Column:
     return s.rlike("^([0-9a-fA-F]{2})*$")
 
 
-#: Date forms in order of preference: year first with separators, whole, then day or month first.
-DATES = (r"\d{4}_\d{2}_\d{2}", r"\d{4}-\d{2}-\d{2}", r"\d{8}", r"\d{1,2}_\d{1,2}_\d{4}", r"\d{1,2}-\d{1,2}-\d{4}", r"\d{1,2}_\d{1,2}_\d{2}", r"\d{1,2}-\d{1,2}-\d{2}", r"\d{6}")
+# fixed values: the date forms in order of preference; separators are any character but a digit
+DATES = (r"\d{8}", *(rf"\d{{{a}}}\D\d{{{b}}}\D\d{{{c}}}" for a, b, c in ((4, 2, 2), (2, 2, 4), (1, 1, 4), (1, 2, 4), (2, 1, 4), (2, 2, 2), (1, 1, 2), (1, 2, 2), (2, 1, 2))))
 
 
-def date_in_path(path: Column, last_part_first: bool = True) -> Column:
-    """The first date-like run of digits, by path part (last first by default), then by form; null if there is none."""
-    parts = F.split(path, r"[/\\]")
+def date_in_path(path: Column, last_part_first: bool = True, forms: tuple[str, ...] = DATES) -> Column:
+    """The date of the first path part that has one, the last part first by default: of the first form found there, its last occurrence."""
+    parts = F.split(path, "/")
     parts = F.reverse(parts) if last_part_first else parts
-    in_part = lambda p: F.coalesce(*(F.nullif(F.regexp_extract(p, rf"(?<!\d)({d})(?!\d)", 1), F.lit("")) for d in DATES))
-    return F.get(F.filter(F.transform(parts, in_part), lambda x: x.isNotNull()), F.lit(0))
+    last = lambda p, d: F.try_element_at(F.regexp_extract_all(p, F.lit(f"({d})"), F.lit(1)), F.lit(-1))
+    return F.get(F.filter(F.transform(parts, lambda p: F.coalesce(*(last(p, d) for d in forms))), lambda x: x.isNotNull()), F.lit(0))
 
 
 def similarity_to_distance(s: Column, kind: int = 1, a: float = 1, b: float = 0, eps: float = 0) -> Column:
-    """Decreasing transforms of a similarity."""
+    """A similarity as a distance: 1 reciprocal, 2 exponential, 3 arc tangent, 4 difference, 5 root, 6 logarithm; eps is added."""
+    power = lambda x: F.pow(x, F.lit(float(a)))
     forms = {
-        1: lambda: a / (s + eps) + b, 2: lambda: a * F.exp(-s) + b, 3: lambda: a * (1 - s) + b,
-        4: lambda: -a * F.ln(s + eps) + b, 5: lambda: a * F.sqrt(F.greatest(1 - s, F.lit(0.0))) + b, 6: lambda: F.pow(1 - s, a) + b,
+        1: lambda: F.try_divide(F.lit(b + 1.0), power(s)) - 1, 2: lambda: F.exp(power(b - s)), 3: lambda: F.atan(a * (b - s)),
+        4: lambda: b - power(s), 5: lambda: power(F.sqrt(1 - (s + b))), 6: lambda: -F.ln(s * a + b),
     }
-    return forms[kind]()
+    return forms[kind]() + eps

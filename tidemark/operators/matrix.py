@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -241,11 +242,15 @@ def polygon_distance(x: Column, y: Column, polygon: Sequence[tuple[float, float]
     return F.least(*far) if len(far) > 1 else far[0]
 
 
-def paths(edges: DataFrame, view: str = "_edges") -> DataFrame:
+def paths(edges: DataFrame) -> DataFrame:
     """All paths from roots to leaves of (parent, child), as arrays; a recursive query, so the graph must have no cycle."""
-    edges.createOrReplaceTempView(view)
-    return edges.sparkSession.sql(f"""
+    view, spark = f"edges_{uuid.uuid4().hex}", edges.sparkSession
+    edges.select("parent", "child").createOrReplaceTempView(view)
+    heads = edges.join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_anti")
+    heads.select("parent", "child").createOrReplaceTempView(f"{view}_heads")
+    found = spark.sql(f"""
         with recursive p(path, tip) as (
-          select array(parent, child), child from {view} where parent not in (select child from {view})
+          select array(parent, child), child from {view}_heads
           union all select array_append(p.path, e.child), e.child from p join {view} e on e.parent = p.tip)
-        select path from p where tip not in (select parent from {view})""")
+        select path, tip from p""")
+    return found.join(edges.select(F.col("parent").alias("tip")).distinct(), "tip", "left_anti").select("path")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,6 +13,13 @@ from tidemark.functions.scalar import circ_wrap
 from tidemark.session import ship
 from tidemark.spec import SeriesSpec
 
+def with_totals(df: DataFrame, keys: Sequence[str], **totals: Column) -> DataFrame:
+    """Adds aggregates of each group to its rows: they are aggregated partially and joined back, so that no task needs a whole group."""
+    held = df.groupBy(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(keys))).agg(*(c.alias(n) for n, c in totals.items()))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(keys)))
+    return df.join(held, same).drop(*(f"_key{i}" for i in range(len(keys))))
+
+
 # ---- frames
 
 
@@ -79,9 +87,9 @@ def threshold(x: Column, low: float | None, high: float | None, low_value: float
 def scale_between(df: DataFrame, spec: SeriesSpec, low: float = 0, high: float = 1, percentiles: tuple[float, float] | None = None, clip: bool = True, out: str = "scaled") -> DataFrame:
     """Linear scale of each series from its extremes, or two of its quantiles, to [low, high]."""
     a, b = (F.min(spec.x), F.max(spec.x)) if percentiles is None else tuple(F.percentile(spec.x, F.lit(p)) for p in percentiles)
-    a, b = a.over(spec.whole), b.over(spec.whole)
-    y = F.try_divide(spec.x - a, F.nullif(b - a, F.lit(0.0))) * (high - low) + low
-    return df.withColumn(out, F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), y)) if clip else y)
+    part = with_totals(df, spec.keys, _a=a, _b=b)
+    y = F.try_divide(spec.x - F.col("_a"), F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))) * (high - low) + low
+    return part.withColumn(out, F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), y)) if clip else y).drop("_a", "_b")
 
 
 def convergence(df: DataFrame, spec: SeriesSpec, width: int, tol: float, mode: str = "abs_less") -> DataFrame:
@@ -164,14 +172,14 @@ def sorted_event_average(df: DataFrame, spec: SeriesSpec, trigger: Column, low:
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: Sequence[str], at: str, max_diff: float | None = None, payload: Sequence[str] = ()) -> DataFrame:
-    """As-of join to the nearest right position, the higher on ties; both sides are merged in one ordered window."""
+    """As-of join to the nearest right position, the higher on ties; both sides are merged and read once in each direction."""
     hold = lambda c: F.when(F.col("_r"), c)
     a = left.withColumn("_r", F.lit(False)).withColumn("_v", F.lit(None).cast(right.select(F.struct(at, *payload).alias("s")).schema["s"].dataType))
     b = right.select(*keys, at, F.struct(at, *payload).alias("_v")).withColumn("_r", F.lit(True))
     both = a.unionByName(b, allowMissingColumns=True)
     order = Window.partitionBy(*keys).orderBy(at)
     below = F.last(hold(F.col("_v")), True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    above = F.first(hold(F.col("_v")), True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    above = F.last(hold(F.col("_v")), True).over(Window.partitionBy(*keys).orderBy(F.desc(at)).rangeBetween(Window.unboundedPreceding, Window.currentRow))
     out = both.withColumns({"_lo": below, "_hi": above}).where(~F.col("_r"))
     up = F.col("_lo").isNull() | (F.col(f"_hi.{at}") - F.col(at) <= F.col(at) - F.col(f"_lo.{at}"))
     out = out.withColumn("match", F.when(F.col("_hi").isNull(), F.col("_lo")).when(up, F.col("_hi")).otherwise(F.col("_lo")))
@@ -197,10 +205,9 @@ def interpolate(points: DataFrame, knots: DataFrame, keys: Sequence[str], x: str
     seg = F.struct(x, y, F.col("_x1"), F.col("_y1"))
     both = points.select(*keys, x, F.lit(None).cast(k.select(seg.alias("s")).schema["s"].dataType).alias("_s")).withColumn("_p", F.lit(True))
     both = both.unionByName(k.select(*keys, x, seg.alias("_s")).withColumn("_p", F.lit(False)))
-    order = Window.partitionBy(*keys).orderBy(x, F.col("_p"))
-    got = both.withColumns({
-        "_l": F.last("_s", True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "_f": F.first("_s", True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    }).where("_p").withColumn("_g", F.coalesce("_l", "_f"))
+    order, back = Window.partitionBy(*keys).orderBy(x, F.col("_p")), Window.partitionBy(*keys).orderBy(F.desc(x), F.desc("_p"))
+    so_far = lambda w: F.last("_s", True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    got = both.withColumns({"_l": so_far(order), "_f": so_far(back)}).where("_p").withColumn("_g", F.coalesce("_l", "_f"))
     slope = F.try_divide(F.col("_g._y1") - F.col(f"_g.{y}"), F.col("_g._x1") - F.col(f"_g.{x}"))
     return got.select(*keys, x, (F.col(f"_g.{y}") + slope * (F.col(x) - F.col(f"_g.{x}"))).alias(y))
 
@@ -209,11 +216,12 @@ def convolve(df: DataFrame, spec: SeriesSpec, kernel: Sequence[float], mode: str
     """1-D convolution (``flip``) or correlation as one frame expression: a weighted sum of lags, no join and no array.
 
     same: centred on full index (K-1)//2, missing neighbours count 0, or are left out of the weights with ``correct_edge``.
+    same_late: the same, centred on full index K//2, which differs for even kernels.
     valid: only rows whose whole window lies in the series.
     """
     k = len(kernel)
     weights = list(kernel) if flip else list(kernel)[::-1]
-    first = (k - 1) // 2
+    first = k // 2 if mode == "same_late" else (k - 1) // 2
     terms = []
     for j, w in enumerate(weights):
         back = j - first  # full index t + first takes x[t + first - j]
@@ -288,8 +296,8 @@ def dff(df: DataFrame, spec: SeriesSpec, p: float = 0.3, width: int | None = Non
     """Baseline-normalised trace: subtracted, baseline, df and dff columns; global or rolling baseline quantile."""
     base = spec.x if surround is None else spec.x - fraction * F.col(surround)
     part = df.withColumn("subtracted", base)
-    q = F.percentile("subtracted", F.lit(p)).over(spec.whole if width is None else centred(spec, width))
-    part = part.withColumn("baseline", q)
+    q = F.percentile("subtracted", F.lit(p))
+    part = with_totals(part, spec.keys, baseline=q) if width is None else part.withColumn("baseline", q.over(centred(spec, width)))
     return part.withColumn("df", F.col("subtracted") - F.col("baseline")).withColumn("dff", F.try_divide("df", F.nullif(F.col("baseline"), F.lit(0.0))))
 
 

@@ -88,11 +88,16 @@ def penalised(train: Column, test: Column, power: float = 1.0) -> Column:
     return test * F.pow(test / train, power)
 
 
-def confusion(df: DataFrame, pred: str, true: str) -> DataFrame:
-    """(pred, true, share): every pair of labels; the shares of one true label sum to 1."""
+def confusion(df: DataFrame, pred: str, true: str, most: int = 1_000_000) -> DataFrame:
+    """(pred, true, share): every pair of labels; the shares of one true label sum to 1.
+
+    The pairs that don't occur are listed too, so the labels are counted first; more than ``most`` pairs are an error.
+    """
     n = df.groupBy(F.col(pred).alias("pred"), F.col(true).alias("true")).agg(F.count("*").alias("n"))
-    # label sets, each at most as many rows as classes
-    grid = n.select("pred").distinct().crossJoin(n.select("true").distinct())
+    sizes = n.agg(F.count_distinct("pred").alias("a"), F.count_distinct("true").alias("b")).first()
+    if (sizes["a"] + 1) * (sizes["b"] + 1) > most:
+        raise ValueError("too many labels for a full table of pairs; group by both labels instead")
+    grid = n.select("pred").distinct().crossJoin(n.select("true").distinct())  # at most ``most`` rows
     full = grid.join(n, ["pred", "true"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return full.select("pred", "true", (F.col("n") / F.sum("n").over(Window.partitionBy("true"))).alias("share"))
 
@@ -101,11 +106,21 @@ def one_hot(df: DataFrame, keys: Sequence[str], label: str, classes: int) -> Dat
     return df.select(*keys, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(classes - 1)), lambda k: k == F.col(label))).alias("class", "hot"))
 
 
-def squeeze(df: DataFrame, x: str, out: str = "squeezed") -> DataFrame:
-    """Consecutive integers in the order of the values, from the smallest: ranks of the distinct values, joined back."""
-    values = df.select(x).distinct()
-    ranked = values.withColumn(out, F.row_number().over(Window.orderBy(x)) - 1 + F.min(x).over(Window.partitionBy(F.lit(0))))
-    return df.join(ranked, x)
+def squeeze(df: DataFrame, x: str, out: str = "squeezed", buckets: int = 64) -> DataFrame:
+    """Consecutive integers in the order of the values, from the smallest: ranks of the distinct values, joined back.
+
+    Values are dealt to ranges by approximate quantiles; a rank is that within the range plus the range's start, so no
+    task sorts all values.
+    """
+    values = df.select(x).where(F.col(x).isNotNull()).distinct()
+    cuts = values.agg(F.percentile_approx(x, F.lit([i / buckets for i in range(1, buckets)]), F.lit(10_000)).alias("q"), F.min(x).alias("low")).first()
+    bucket = F.size(F.filter(F.array(*map(F.lit, sorted(set(cuts["q"] or [])))), lambda c: c < F.col(x))) if cuts["q"] else F.lit(0)
+    dealt = values.withColumn("_r", bucket)
+    starts = dealt.groupBy("_r").agg(F.count("*").alias("_n"))  # at most ``buckets`` rows
+    starts = starts.select("_r", F.coalesce(F.sum("_n").over(Window.partitionBy(F.lit(0)).orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_first"))
+    place = F.row_number().over(Window.partitionBy("_r").orderBy(x)) - 1
+    ranked = dealt.withColumn("_place", place).join(F.broadcast(starts), "_r")
+    return df.join(ranked.select(x, (F.col("_first") + F.col("_place") + F.lit(cuts["low"])).alias(out)), x)
 
 
 def frequency(df: DataFrame, x: str) -> DataFrame:

@@ -52,8 +52,8 @@ def moments(df: DataFrame, vector: str) -> Moments:
     rows = df.select(F.col(vector).alias("v")).mapInPandas(part, "j int, row array<double>")
     at = rows.select("j", F.posexplode("row").alias("i", "v")).groupBy("j", "i").agg(F.sum("v").alias("v"))
     m = np.zeros((k + 1, k + 1))
-    for r in at.collect():
-        m[r["j"] + 1, r["i"]] = r["v"]
+    for r in at.groupBy("j").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda c: c["v"]).alias("row")).collect():
+        m[r["j"] + 1] = r["row"]
     n = m[0, k]
     mean = m[0, :k] / max(n, 1)
     return Moments(int(n), mean, m[1:, :k] - n * np.outer(mean, mean))
@@ -139,22 +139,24 @@ def best_alpha(sweep: DataFrame, keys: Sequence[str]) -> DataFrame:
     return mean.groupBy(*keys).agg(F.max(F.struct("ev", "alpha")).alias("m")).select(*keys, F.col("m.alpha").alias("alpha"), F.col("m.ev").alias("ev"))
 
 
-def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int, rounds: int = 50) -> DataFrame:
-    """(key, cluster) in the plane: neighbours by grid cells, clusters as least labels over links between core points; noise is -1."""
+def dbscan(df: DataFrame, key: str, x: str, y: str, eps: float, min_points: int) -> DataFrame:
+    """(key, cluster) in the plane: neighbours by grid cells, clusters as least labels over links between core points; noise is -1.
+
+    Rounds go on until none changes a label; each halves the distance of labels to their cluster's least one.
+    """
     cell = df.select(key, x, y, F.floor(F.col(x) / eps).alias("cx"), F.floor(F.col(y) / eps).alias("cy"))
     spread = cell.select(F.col(key).alias("b"), F.col(x).alias("bx"), F.col(y).alias("by"), F.explode(F.sequence(F.col("cx") - 1, F.col("cx") + 1)).alias("cx"), "cy")
     spread = spread.select("b", "bx", "by", "cx", F.explode(F.sequence(F.col("cy") - 1, F.col("cy") + 1)).alias("cy"))
-    near = cell.join(spread, ["cx", "cy"]).where(F.hypot(F.col(x) - F.col("bx"), F.col(y) - F.col("by")) <= eps).select(F.col(key).alias("a"), "b")
+    near = cell.join(spread, ["cx", "cy"]).where(F.hypot(F.col(x) - F.col("bx"), F.col(y) - F.col("by")) <= eps).select(F.col(key).alias("a"), "b").checkpoint()
     core = near.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= min_points).select("a")
     links = near.join(core, "a").join(core.withColumnRenamed("a", "b"), "b").checkpoint()
     label = links.groupBy("a").agg(F.min("b").alias("cluster")).checkpoint()
-    for _ in range(rounds):
+    done = False
+    while not done:
         new = links.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cluster").alias("cluster"))
         new = new.join(label.select(F.col("a").alias("cluster"), F.col("cluster").alias("up")), "cluster").select("a", F.least("cluster", "up").alias("cluster")).checkpoint()
         done = new.join(label.withColumnRenamed("cluster", "was"), "a").where("was <> cluster").limit(1).count() == 0
         label = new
-        if done:
-            break
     edge = near.join(label.withColumnRenamed("a", "b"), "b").groupBy("a").agg(F.min("cluster").alias("cluster"))
     own = edge.join(label.withColumnRenamed("cluster", "own"), "a", "left").select(F.col("a").alias(key), F.coalesce("own", "cluster").alias("cluster"))
     return df.select(key).join(own, key, "left").select(key, F.coalesce("cluster", F.lit(-1)).alias("cluster"))

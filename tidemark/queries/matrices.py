@@ -24,32 +24,15 @@ def gram_matrix(spark, d):
     return got.select("j", "k", (F.round("v", 4) + 0.0).alias("v"), r6("cov").alias("cov"), r6("corr").alias("corr"))
 
 
-@R.add("""select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])), 6) + 0.0 as cosine
-from embeddings a join embeddings b on a.label = b.label and a.vec_id < b.vec_id where a.label = 3""")
-def cosine_pairs(spark, d):
-    v = vectors(spark, d).where("label = 3")
-    a, b = v.select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x")), v.select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return a.join(b, "label").where("a < b").select("a", "b", r6(M.cosine(F.col("x"), F.col("y"))).alias("cosine"))
-
-
-@R.add("""select i, j, rank from (select a.vec_id as i, b.vec_id as j, row_number() over (partition by a.vec_id order by round(-list_dot_product(a.embedding::double[], b.embedding::double[]), 9), b.vec_id)::int as rank
-from embeddings a join embeddings b on a.label = b.label and a.vec_id <> b.vec_id) where rank <= 5""")
-def knn_topk(spark, d):
-    v = vectors(spark, d)
-    a, b = v.select("label", F.col("vec_id").alias("i"), F.col("embedding").alias("x")), v.select("label", F.col("vec_id").alias("j"), F.col("embedding").alias("y"))
-    pairs = a.join(b, "label").where("i <> j").select("i", "j", F.round(-M.dot(F.col("x"), F.col("y")), 9).alias("v"))
-    return M.top_k(pairs, 5).select("i", "j", "rank")
-
-
 @R.add("""select a.vec_id as a, b.vec_id as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[]) * list_dot_product(b.embedding::double[], b.embedding::double[])), 6) + 0.0 as cosine
 from embeddings a join embeddings b on a.vec_id < b.vec_id""")
-def cosine_pairs_all(spark, d):
+def cosine_pairs(spark, d):
     return M.cosines(vectors(spark, d), "vec_id", "embedding").withColumn("cosine", r6("cosine"))
 
 
 @R.add("""select i, j, rank from (select a.vec_id as i, b.vec_id as j, row_number() over (partition by a.vec_id order by round(-list_dot_product(a.embedding::double[], b.embedding::double[]), 9), b.vec_id)::int as rank
 from embeddings a join embeddings b on a.vec_id <> b.vec_id) where rank <= 5""")
-def knn_topk_all(spark, d):
+def knn_topk(spark, d):
     return M.nearest_by_dot(vectors(spark, d), "vec_id", "embedding", 5)
 
 
@@ -68,9 +51,9 @@ def sparse(spark, d, c, w):
     return table(spark, d, "lineitem").where(w).groupBy(F.col("l_suppkey").alias("i"), F.col("l_linenumber").cast("long").alias("j")).agg(r6(F.avg(c)).alias("v"))
 
 
-@R.add(f"select * from {SPARSE.format(c='l_quantity', w='l_suppkey < 60')} union all select * from {SPARSE.format(c='l_tax', w='l_suppkey >= 40')} b where not exists (select 1 from {SPARSE.format(c='l_quantity', w='l_suppkey < 60')} a where a.i = b.i and a.j = b.j)")
+@R.add(f"select * from {SPARSE.format(c='l_quantity', w="l_returnflag = 'R'")} union all select * from {SPARSE.format(c='l_tax', w='true')} b where not exists (select 1 from {SPARSE.format(c='l_quantity', w="l_returnflag = 'R'")} a where a.i = b.i and a.j = b.j)")
 def sparse_merge(spark, d):
-    return M.merge([sparse(spark, d, "l_quantity", "l_suppkey < 60"), sparse(spark, d, "l_tax", "l_suppkey >= 40")])
+    return M.merge([sparse(spark, d, "l_quantity", "l_returnflag = 'R'"), sparse(spark, d, "l_tax", "true")])
 
 
 @R.add(f"select a.* from {SPARSE.format(c='l_quantity', w='true')} a where exists (select 1 from {SPARSE.format(c='l_tax', w='l_discount > 0.05')} b where a.i = b.i and a.j = b.j and b.v <> 0)")
@@ -84,27 +67,12 @@ def sparse_roll(spark, d):
 
 
 PRODUCTS = "(select a.vec_id as i, b.vec_id as j, a.label as a, b.label as b, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as v from embeddings a, embeddings b)"
-CLUSTER = "(select a.vec_id as i, b.vec_id as j, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 6) as v from embeddings a, embeddings b where a.vec_id < 60 and b.vec_id < 60)"
-
-
-@R.add(f"""with s as {CLUSTER}, l as (select vec_id as i, label as c from embeddings where vec_id < 60), n as (select c, count(*) as n from l group by 1)
-select la.c as a, lb.c as b, round(sum(case when s.i <> s.j then v end) / nullif(max(na.n * nb.n - case when la.c = lb.c then na.n else 0 end), 0), 6) + 0.0 as mean,
-coalesce(max(case when s.i <> s.j then v end), 0) + 0.0 as high, case when count(case when v <> 0 then 1 end) < max(na.n * nb.n) then 0.0 else min(v) end + 0.0 as low
-from s join l la on s.i = la.i join l lb on s.j = lb.i join n na on na.c = la.c join n nb on nb.c = lb.c group by 1, 2""")
-def cluster_similarity(spark, d):
-    v = vectors(spark, d).where("vec_id < 60")
-    x = M.long_form(v, "vec_id", "embedding")
-    y = x.select(F.col("i").alias("k"), "j", "v")
-    s = M.matmul(x, y).select("i", F.col("k").alias("j"), F.round("v", 6).alias("v"))
-    got = M.cluster_similarity(s, v.select(F.col("vec_id").alias("i"), F.col("label").alias("c")))
-    return got.select("a", "b", r6("mean").alias("mean"), (F.col("high") + 0.0).alias("high"), (F.col("low") + 0.0).alias("low"))
-
 
 @R.add(f"""with s as {PRODUCTS}, n as (select label as c, count(*) as n from embeddings group by 1)
 select s.a, s.b, round(sum(case when s.i <> s.j then v end) / nullif(max(na.n * nb.n - case when s.a = s.b then na.n else 0 end), 0), 6) + 0.0 as mean,
 coalesce(max(case when s.i <> s.j then v end), 0) + 0.0 as high, case when count(case when v <> 0 then 1 end) < max(na.n * nb.n) then 0.0 else min(v) end + 0.0 as low
 from s join n na on na.c = s.a join n nb on nb.c = s.b group by 1, 2""")
-def cluster_similarity_all(spark, d):
+def cluster_similarity(spark, d):
     got = M.cluster_similarity_of_vectors(vectors(spark, d), "vec_id", "embedding", "label")
     return got.select("a", "b", r6("mean").alias("mean"), (F.col("high") + 0.0).alias("high"), (F.col("low") + 0.0).alias("low"))
 

@@ -19,7 +19,9 @@ R = Registry()
 
 def shared(spark: SparkSession) -> None:
     """checkpoint() needs a folder: the one the cluster names, or a temporary one where it names none."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
+    at, master = spark.conf.get("spark.checkpoint.dir", None), spark.sparkContext.master
+    if not at and (not master.startswith("local") or master.startswith("local-cluster")):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(at or tempfile.mkdtemp(prefix="tidemark-"))
 
@@ -99,12 +101,12 @@ def szudzik_pairs(spark, d):
     return part.withColumn("p", pair).select("p_partkey", "code", F.col("p.a").alias("a"), F.col("p.b").alias("b"))
 
 
-@R.add("select p_partkey, round(1 / (1 + exp(-(p_retailprice - 1000) / 100)), 6) + 0.0 as logistic, round(exp(-pow((p_size - 25) / 10.0, 2) / 2) / (10 * sqrt(2 * pi())), 8) + 0.0 as gaussian, round(exp(0.1 * (p_size - 25)) - 0.1 * (p_size - 25) - 1, 5) + 0.0 as linex, p_size + (case when p_size % 2 = 0 then 1 else 0 end) as odd, p_size - (case when p_size % 2 <> 0 then 1 else 0 end) as even from part")
+@R.add("select p_partkey, round(1 / (1 + exp(-(p_retailprice - 1000) / 100)), 6) + 0.0 as logistic, round(exp(-pow((p_size - 25) / 10.0, 2) / 2) / (10 * sqrt(2 * pi())), 8) + 0.0 as gaussian, round(2 * (1.5 * exp(0.1 * 1.2 * (p_size - 25)) - 0.3 * pow(p_size - 25, 2) - 1), 4) + 0.0 as linex, p_size + (case when p_size % 2 = 0 then 1 else 0 end) as odd, p_size - (case when p_size % 2 <> 0 then 1 else 0 end) as even from part")
 def scalar_maths(spark, d):
     s = F.col("p_size")
     return table(spark, d, "part").select(
         "p_partkey", r6(C.logistic(F.col("p_retailprice"), b=0.01, mu=1000)).alias("logistic"), (F.round(C.gaussian(s, 25, 10), 8) + 0.0).alias("gaussian"),
-        (F.round(C.linex(s, 0.1, 1, 25), 5) + 0.0).alias("linex"), C.make_odd(s).alias("odd"), C.make_even(s, up=False).alias("even"))
+        (F.round(C.linex(s, 25, 2, 1.5, 0.1, 1.2, 0.3, 2), 4) + 0.0).alias("linex"), C.make_odd(s).alias("odd"), C.make_even(s, up=False).alias("even"))
 
 
 @R.add("select s_suppkey, round(s_acctbal, 6) + 0.0 as re, round(sqrt(s_acctbal * s_acctbal + 1), 5) + 0.0 as r from supplier")
@@ -113,10 +115,12 @@ def polar_roundtrip(spark, d):
     return p.select("s_suppkey", r6("c.re").alias("re"), (F.round("p.r", 5) + 0.0).alias("r"))
 
 
-@R.add("select vec_id, round(1 / (s + 2), 6) + 0.0 as d1, round(exp(-s), 6) + 0.0 as d2, round(1 - s, 6) + 0.0 as d3 from (select vec_id, embedding[1]::double as s from embeddings)")
+@R.add("""select vec_id, round(2 / pow(s, 1.5) - 1 + 0.25, 6) + 0.0 as d1, round(exp(pow(2 - s, 1.5)) + 0.25, 6) + 0.0 as d2, round(atan(1.5 * (1 - s)) + 0.25, 6) + 0.0 as d3,
+round(1 - pow(s, 1.5) + 0.25, 6) + 0.0 as d4, round(pow(sqrt(1 - (s - 1)), 1.5) + 0.25, 6) + 0.0 as d5, round(-ln(s * 1.5 + 1) + 0.25, 6) + 0.0 as d6 from (select vec_id, abs(embedding[1]::double) + 0.1 as s from embeddings)""")
 def similarity_to_distance(spark, d):
-    s = F.col("embedding")[0].cast("double")
-    return table(spark, d, "embeddings").select("vec_id", r6(C.similarity_to_distance(s, 1, eps=2)).alias("d1"), r6(C.similarity_to_distance(s, 2)).alias("d2"), r6(C.similarity_to_distance(s, 3)).alias("d3"))
+    s = F.abs(F.col("embedding")[0].cast("double")) + 0.1
+    shift = {1: 1, 2: 2, 3: 1, 4: 1, 5: -1, 6: 1}
+    return table(spark, d, "embeddings").select("vec_id", *(r6(C.similarity_to_distance(s, k, 1.5, b, 0.25)).alias(f"d{k}") for k, b in shift.items()))
 
 
 @R.add(r"""select page_id, array_to_string(regexp_extract_all(url, '(-?\d+\.?\d*)', 1), ',') as numbers, try_cast(nullif(regexp_replace(url, '[^0-9]', '', 'g'), '') as bigint) as digits from pages""")
@@ -124,9 +128,16 @@ def numbers_in_text(spark, d):
     return table(spark, d, "pages").select("page_id", F.array_join(F.regexp_extract_all("url", F.lit(r"(-?\d+\.?\d*)"), F.lit(1)), ",").alias("numbers"), C.digits_of(F.col("url")).alias("digits"))
 
 
-@R.add(r"""select o_orderkey, coalesce(nullif(regexp_extract(p, '(\d{8})', 1), ''), null) as found from (select o_orderkey, '/data/' || o_custkey % 1000 || '/run_' || strftime(o_orderdate, '%Y%m%d') || '/x.bin' as p from orders)""")
+DATE_FORMS = (r"\d{4}\d{2}\d{2}", r"\d{4}\D\d{2}\D\d{2}", r"\d{2}\D\d{2}\D\d{4}", r"\d{1}\D\d{1}\D\d{4}", r"\d{1}\D\d{2}\D\d{4}")
+_PARTS = "['data' || o_custkey % 1000, 'run_' || case o_orderkey % 3 when 0 then strftime(o_orderdate, '%Y%m%d') when 1 then strftime(o_orderdate, '%Y.%m-%d') else strftime(o_orderdate, '%-m x%d %Y') end, 'x' || o_orderkey % 7 || '.bin']"
+_FOUND = ", ".join(f"list_extract(regexp_extract_all(parts[{k}], '{f}'), -1)" for k in (3, 2, 1) for f in DATE_FORMS)
+
+
+@R.add(f"select o_orderkey, coalesce({_FOUND}) as found from (select o_orderkey, {_PARTS} as parts from orders)")
 def date_in_path(spark, d):
-    p = F.concat(F.lit("/data/"), (F.col("o_custkey") % 1000).cast("string"), F.lit("/run_"), F.date_format("o_orderdate", "yyyyMMdd"), F.lit("/x.bin"))
+    day = F.when(F.col("o_orderkey") % 3 == 0, F.date_format("o_orderdate", "yyyyMMdd")).when(F.col("o_orderkey") % 3 == 1, F.date_format("o_orderdate", "yyyy.MM-dd")).otherwise(
+        F.concat(F.month("o_orderdate").cast("string"), F.lit(" x"), F.date_format("o_orderdate", "dd yyyy")))
+    p = F.concat(F.lit("data"), (F.col("o_custkey") % 1000).cast("string"), F.lit("/run_"), day, F.lit("/x"), (F.col("o_orderkey") % 7).cast("string"), F.lit(".bin"))
     return table(spark, d, "orders").select("o_orderkey", C.date_in_path(p).alias("found"))
 
 
