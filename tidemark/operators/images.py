@@ -4,9 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 
 def whole():
     """All pixels of an image. A function, as a window can't be made before there is a session."""
@@ -153,3 +157,84 @@ def stack_slices(df: DataFrame, slices: int, drop_first: int, frames: int) -> Da
     """Mean image of each slice of frames in (volume, slice, frame) order, the first frames of each slice left out."""
     f = df.withColumns({"slice": F.pmod(F.floor(F.col("img") / frames), F.lit(slices)), "frame": F.pmod("img", F.lit(frames))})
     return f.where(F.col("frame") >= drop_first).groupBy("slice", "y", "x").agg(F.avg("v").alias("v"))
+
+
+def _by_image(df: DataFrame, height: int, width: int, run, schema: str) -> DataFrame:
+    """Applies ``run`` to each image as an array, absent pixels zero; an image is the unit of memory."""
+
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.zeros((height, width))
+        a[pdf["y"].to_numpy(int), pdf["x"].to_numpy(int)] = pdf["v"].to_numpy(float)
+        out = run(a)
+        return pd.DataFrame({"img": pdf["img"].iloc[0], **out})
+
+    ship(df.sparkSession)
+    return df.groupBy("img").applyInPandas(one, f"img {dict(df.dtypes)['img']}, {schema}")
+
+
+def correlation_image(template: np.ndarray, image: np.ndarray, mask: np.ndarray | None = None, eps: float = 1e-8) -> np.ndarray:
+    """Phase correlation with the zero shift in the middle; ``mask`` weighs centred frequencies."""
+    a, b = np.fft.fft2(template), np.fft.fft2(image)
+    if mask is not None:
+        weight = np.fft.fftshift(mask / mask.sum())
+        a, b = a * weight, b * weight
+    cross = a * b.conj()
+    return np.fft.fftshift(np.fft.ifft2(cross / (np.abs(cross) + eps))).real
+
+
+def translation_shifts(df: DataFrame, template: np.ndarray, mask: np.ndarray | None = None) -> DataFrame:
+    """(img, dy, dx, peak): the shift of each image against the template (a small array, sent with the plan) by phase correlation."""
+    height, width = template.shape
+
+    def run(image: np.ndarray) -> dict:
+        c = correlation_image(template, image, mask)
+        y, x = divmod(int(c.argmax()), width)
+        return {"dy": [height // 2 - y], "dx": [-(-width // 2) - x], "peak": [c.max()]}
+
+    return _by_image(df, height, width, run, "dy long, dx long, peak double")
+
+
+def resize(df: DataFrame, height: int, width: int, to: tuple[int, int]) -> DataFrame:
+    """Bilinear resampling to another size, pixel centres aligned at the corners."""
+    images = df.select("img").distinct()
+    step = [(n - 1) / max(m - 1, 1) for n, m in zip((height, width), to, strict=True)]
+    points = images.crossJoin(F.broadcast(grid(df.sparkSession, *to)))  # every image gets the same pixels
+    points = points.select("img", (F.col("y") * to[1] + F.col("x")).alias("id"), (F.col("y") * step[0]).alias("py"), (F.col("x") * step[1]).alias("px"))
+    return remap(df, points).select("img", F.floor(F.col("id") / to[1]).alias("y"), F.pmod("id", F.lit(to[1])).alias("x"), "v")
+
+
+def flatten_channels(df: DataFrame, channels: int) -> DataFrame:
+    """(img, c, ...) with the channels of an image following each other as images."""
+    return df.withColumn("img", F.col("img") * channels + F.col("c")).drop("c")
+
+
+def unflatten_channels(df: DataFrame, channels: int) -> DataFrame:
+    return df.withColumns({"c": F.pmod("img", F.lit(channels)), "img": F.floor(F.col("img") / channels)})
+
+
+def to_rgb(df: DataFrame, colours: list[tuple[float, float, float]]) -> DataFrame:
+    """(img, y, x, r, g, b): channels (img, c, y, x, v) added in their colours, clipped at 1."""
+    part = lambda k: F.least(F.lit(1.0), F.sum(F.col("v") * F.get(F.array(*(F.lit(float(c[k])) for c in colours)), F.col("c").cast("int"))))
+    return df.groupBy("img", "y", "x").agg(*(part(k).alias(n) for k, n in enumerate("rgb")))
+
+
+def occlude(df: DataFrame, height: int, width: int, size: tuple[float, float] = (0.3, 0.5), seed: int = 0) -> DataFrame:
+    """A rectangle of each image, placed by the hash of its id, becomes zero."""
+    u = lambda k: F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "img"), F.lit(1_000_000)) / 1_000_000
+    h, w = (F.floor((size[0] + (size[1] - size[0]) * u(k)) * n) for k, n in ((0, height), (1, width)))
+    y0, x0 = F.floor(u(2) * (height - h + 1)), F.floor(u(3) * (width - w + 1))
+    return df.withColumn("v", F.when(F.col("y").between(y0, y0 + h - 1) & F.col("x").between(x0, x0 + w - 1), 0.0).otherwise(F.col("v")))
+
+
+def add_noise(v: Column, scale: float, seed: int = 0) -> Column:
+    return v + F.randn(seed) * scale
+
+
+def multiply_at_random(df: DataFrame, low: float, high: float, seed: int = 0) -> DataFrame:
+    """Each image times a factor of its own in [low, high), from the hash of its id."""
+    return df.withColumn("v", F.col("v") * (low + (high - low) * F.pmod(F.xxhash64(F.lit(seed), "img"), F.lit(1_000_000)) / 1_000_000))
+
+
+def without_nan(df: DataFrame) -> DataFrame:
+    """Raises when a pixel is NaN."""
+    return df.withColumn("v", F.when(F.isnan("v"), F.raise_error(F.lit("image has NaN")).cast("double")).otherwise(F.col("v")))

@@ -331,3 +331,49 @@ def quality(df: DataFrame, spec: SeriesSpec, limits: dict[str, tuple[float, floa
     for k in flags:
         good = good & F.col(k)
     return m.withColumn("good", good)
+
+
+#: The limits of ``trace_quality``; fixed values.
+TRACE_LIMITS = {
+    "var_ratio": (0, 0.5), "explained": (0, 0.7), "base_subtracted": (100, 2000), "base": (200, 3500), "nsr": (0, 6), "noise": (0, 0.015), "max_dff": (0.75, 10), "baseline_var": (0, 0.015),
+}
+
+
+def order_statistic(df: DataFrame, spec: SeriesSpec, p: float, out: str) -> DataFrame:
+    """(keys, out): the value of each series at rank round(p (n - 1)), halves to even."""
+    w = Window.partitionBy(*spec.keys)
+    ranked = df.select(*spec.keys, spec.x.alias(out)).where(F.col(out).isNotNull())
+    ranked = ranked.withColumns({"_k": F.row_number().over(w.orderBy(out)) - 1, "_n": F.count("*").over(w)})
+    return ranked.where(F.col("_k") == F.bround(p * (F.col("_n") - 1)).cast("long")).select(*spec.keys, out)
+
+
+def trace_quality(df: DataFrame, spec: SeriesSpec, surround: str, fraction: float = 0.7, p: float = 0.3, width: int = 27_000, rate: float = 30.0, limits: dict[str, tuple[float, float]] | None = None) -> DataFrame:
+    """The eight metrics of traces with a surround signal, a pass flag for each and ``good`` for all; null, NaN and what is out of limits fails.
+
+    var_ratio and explained: variance of the surround to that of the trace, and the share of the trace it explains. base
+    and base_subtracted: the p order statistic of the trace and of what is left after subtraction. nsr: autoregressive
+    noise to signal of dF/F; noise: median |second difference| / rate; max_dff; baseline_var: variance of the rolling baseline
+    over its mean.
+    """
+    v, keys = spec.value, list(spec.keys)
+    traced = dff(df, spec, p, None, surround, fraction)
+    traced = traced.withColumn("_roll", F.percentile("subtracted", F.lit(p)).over(centred(spec, width)))
+    of = lambda c: SeriesSpec(spec.keys, spec.order, c)
+    ratio = F.try_divide(F.var_samp(surround), F.nullif(F.var_samp(v), F.lit(0.0)))
+    m = traced.groupBy(*keys).agg(
+        F.coalesce(ratio, F.when(F.var_samp(v) == 0, F.lit(0.0))).alias("var_ratio"), F.pow(F.corr(v, surround), 2).alias("explained"), F.max("dff").alias("max_dff"),
+        F.try_divide(F.var_samp("_roll"), F.nullif(F.pow(F.avg("_roll"), 2), F.lit(0.0))).alias("baseline_var"))
+    snr = snr_autoregressive(traced, of("dff")).select(*keys, F.try_divide(F.lit(1.0), F.nullif(F.col("snr"), F.lit(0.0))).alias("nsr"))
+    noise = derivative_mad(traced, of("dff"), 2).select(*keys, (F.col("mad") / rate).alias("noise"))
+    for part in (snr, noise, order_statistic(df, spec, p, "base"), order_statistic(traced, of("subtracted"), p, "base_subtracted")):
+        m = m.join(part, keys, "left")
+    limits = TRACE_LIMITS if limits is None else limits
+    flags = {f"ok_{k}": F.coalesce(F.col(k).between(float(lo), float(hi)) & ~F.isnan(k), F.lit(False)) for k, (lo, hi) in limits.items()}
+    return m.withColumns(flags).withColumn("good", reduce(lambda a, b: a & b, (F.col(k) for k in flags)))
+
+
+def magnitude_normalised(df: DataFrame, series: str, at: str, value: str, k: float = 0.05, out: str = "normalised") -> DataFrame:
+    """Spectrogram rows (series, frequency, at, value) over k times the mean, by series, of the sum over frequencies at that time, plus 1 - k."""
+    total = F.try_divide(F.sum(value), F.count_distinct(series).cast("double"))
+    held = df.groupBy(F.col(at).alias("_at")).agg(total.alias("_mean"))
+    return df.join(held, F.col(at).eqNullSafe(F.col("_at"))).withColumn(out, F.col(value) / (k * F.col("_mean") + (1 - k))).drop("_at", "_mean")

@@ -1,11 +1,17 @@
-"""Spectral operators: each series is one group of an Arrow-based numpy kernel; a series is the unit of memory."""
+"""Spectral operators: numpy kernels on Arrow batches.
+
+Coherence works on segments; the others transform a series whole, so a series is one group and the unit of memory."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from tidemark.session import ship
 from tidemark.spec import SeriesSpec
@@ -38,22 +44,49 @@ def _detrended(s: np.ndarray, how: str) -> np.ndarray:
     return s - s.mean(axis=1, keepdims=True) - ((s @ t) / (t @ t))[:, None] * t
 
 
+def _window(name: str, size: int) -> np.ndarray:
+    """Periodic windows."""
+    return {"hann": np.hanning, "hamming": np.hamming, "blackman": np.blackman, "boxcar": np.ones}[name](size + (name != "boxcar"))[:size]
+
+
 def welch_coherence(x: np.ndarray, y: np.ndarray, fs: float = 1.0, nperseg: int = 256, noverlap: int | None = None, nfft: int | None = None, window: str = "hann", detrend: str = "constant") -> tuple[np.ndarray, np.ndarray]:
-    """(frequencies, magnitude-squared coherence) averaged over segments, with a periodic window."""
+    """(frequencies, magnitude-squared coherence) averaged over segments, of two arrays."""
     noverlap, nfft = nperseg // 2 if noverlap is None else noverlap, nfft or nperseg
-    w = {"hann": np.hanning, "hamming": np.hamming, "blackman": np.blackman, "boxcar": np.ones}[window](nperseg + (window != "boxcar"))[:nperseg]
-    fx, fy = (np.fft.rfft(_detrended(_segments(v, nperseg, noverlap), detrend) * w, nfft) for v in (x, y))
+    fx, fy = (np.fft.rfft(_detrended(_segments(v, nperseg, noverlap), detrend) * _window(window, nperseg), nfft) for v in (x, y))
     with np.errstate(divide="ignore", invalid="ignore"):
         c = np.abs((fx.conj() * fy).mean(axis=0)) ** 2 / ((np.abs(fx) ** 2).mean(axis=0) * (np.abs(fy) ** 2).mean(axis=0)) if len(fx) else np.zeros(0)
     return np.fft.rfftfreq(nfft, 1 / fs)[: len(c)], c
 
 
-def coherence(df: DataFrame, spec: SeriesSpec, other: str, fs: float = 1.0, **kwargs) -> DataFrame:
-    def kernel(pdf: pd.DataFrame) -> dict:
-        f, c = welch_coherence(pdf[spec.value].to_numpy(float), pdf[other].to_numpy(float), fs, **kwargs)
-        return {"frequency": f, "coherence": c}
+def coherence(df: DataFrame, spec: SeriesSpec, other: str, fs: float = 1.0, nperseg: int = 256, noverlap: int | None = None, nfft: int | None = None, window: str = "hann", detrend: str = "constant") -> DataFrame:
+    """(keys, frequency, coherence) of two columns, averaged over segments.
 
-    return _by_series(df, spec, kernel, {"frequency": DoubleType(), "coherence": DoubleType()}, keep_rows=False)
+    Rows are cut into segments first, so a long series is spread over tasks; a segment is transformed in an Arrow batch,
+    and the cross spectra are summed in the JVM.
+    """
+    noverlap, nfft = nperseg // 2 if noverlap is None else noverlap, nfft or nperseg
+    step, taper = nperseg - noverlap, _window(window, nperseg)
+    part = spec.indexed(df.withColumns({"_x": spec.x, "_y": F.col(other).cast("double")}), "_t").withColumn("_n", F.count("*").over(spec.whole))
+    first = F.greatest(F.ceil((F.col("_t") - nperseg + 1) / step), F.lit(0)).cast("long")
+    last = F.least(F.floor(F.col("_t") / step), F.floor((F.col("_n") - nperseg) / step)).cast("long")
+    cut = part.where((F.col("_n") >= nperseg) & (first <= last)).withColumn("_s", F.explode(F.sequence(first, last)))
+    held = F.array_sort(F.collect_list(F.struct("_t", "_x", "_y")))
+    segments = cut.groupBy(*spec.keys, "_s").agg(F.transform(held, lambda r: r["_x"]).alias("_x"), F.transform(held, lambda r: r["_y"]).alias("_y")).drop("_s")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.num_rows
+            x, y = (batch.column(batch.schema.get_field_index(c)).flatten().to_numpy(zero_copy_only=False).astype(float).reshape(n, nperseg) for c in ("_x", "_y"))
+            fx, fy = (np.fft.rfft(_detrended(v, detrend) * taper, nfft) for v in (x, y))
+            cross = fx.conj() * fy
+            sums = np.stack([cross.real, cross.imag, np.abs(fx) ** 2, np.abs(fy) ** 2], axis=2)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(spec.keys)], pa.array(sums.tolist(), pa.list_(pa.list_(pa.float64())))], names=[*spec.keys, "_f"])
+
+    ship(df.sparkSession)
+    schema = StructType([*(segments.schema[k] for k in spec.keys), StructField("_f", ArrayType(ArrayType(DoubleType())))])
+    each = segments.mapInArrow(run, schema).select(*spec.keys, F.posexplode("_f").alias("_k", "_v"))
+    re, im, a, b = (F.sum(F.col("_v")[i]) for i in range(4))
+    return each.groupBy(*spec.keys, (F.col("_k") * (fs / nfft)).alias("frequency")).agg(F.try_divide(re * re + im * im, F.nullif(a * b, F.lit(0.0))).alias("coherence"))
 
 
 def power(df: DataFrame, spec: SeriesSpec, fs: float = 1.0) -> DataFrame:
@@ -147,3 +180,46 @@ def multitaper(df: DataFrame, spec: SeriesSpec, size: int, step: int, nw: float
         return {"window": np.repeat(np.arange(len(s)), len(f)), "frequency": np.tile(f, len(s)), "power": p.ravel()}
 
     return _by_series(df, spec, kernel, {"window": LongType(), "frequency": DoubleType(), "power": DoubleType()}, keep_rows=False)
+
+
+def padded(full: np.ndarray, n: int, k: int, mode: str) -> np.ndarray:
+    """The part of a full convolution of lengths n and k: full, valid, or same, which starts at the upper half of the overhang."""
+    if mode == "full":
+        return full
+    if mode not in ("same", "valid"):
+        raise ValueError("mode must be full, same or valid")
+    size = n if mode == "same" else max(n, k) - min(n, k) + 1
+    first = -(-(k - 1) // 2) if mode == "same" else min(n, k) - 1
+    return full[first : first + size]
+
+
+def fft_convolve(df: DataFrame, spec: SeriesSpec, kernel: list[float], mode: str = "same") -> DataFrame:
+    """(keys, t, value): convolution in the frequency domain, for kernels too long for a frame."""
+
+    def run(pdf: pd.DataFrame) -> dict:
+        x = pdf[spec.value].to_numpy(float)
+        n = len(x) + len(kernel) - 1
+        out = padded(np.fft.irfft(np.fft.rfft(x, n) * np.fft.rfft(kernel, n), n), len(x), len(kernel), mode)
+        return {"t": np.arange(len(out)), "conv": out}
+
+    return _by_series(df, spec, run, {"t": LongType(), "conv": DoubleType()}, keep_rows=False)
+
+
+def reversed_in_time(x: np.ndarray) -> np.ndarray:
+    """The signal read backwards, by conjugating and shifting its spectrum."""
+    n = len(x)
+    turn = np.exp(2j * np.pi * np.arange(n) / max(n, 1))
+    return np.fft.ifft(np.fft.fft(x).conj() * turn.conj() ** (n - 1)).real if n else x
+
+
+def angle_difference(df: DataFrame, spec: SeriesSpec, other: str, centre: bool = True) -> DataFrame:
+    """(keys, angle): the circular mean of the difference of the two signals' phases, in (-pi, pi]; negative where the first leads."""
+
+    def run(pdf: pd.DataFrame) -> dict:
+        x, y = (pdf[c].to_numpy(float) for c in (spec.value, other))
+        if centre:
+            x, y = x - x.mean(), y - y.mean()
+        gap = np.angle(analytic(x)) - np.angle(analytic(y))
+        return {"angle": [np.arctan2(np.sin(gap).mean(), np.cos(gap).mean())]}
+
+    return _by_series(df, spec, run, {"angle": DoubleType()}, keep_rows=False)

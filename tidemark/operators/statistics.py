@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.distributions import p_of_t, p_of_z, t_of_p
 from tidemark.functions.scalar import TAU
 
 
@@ -23,9 +24,23 @@ def moments(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
         F.stddev_samp(v).alias("std1"), F.min(v).alias("low"), F.max(v).alias("high"))
 
 
-def geometric_mean(df: DataFrame, keys: Sequence[str], x: str, zeros: str = "propagate") -> DataFrame:
-    """zeros: propagate (the mean is 0), omit. Negative values give null."""
-    v = clean(F.col(x))
+def no_missing(df: DataFrame, x: str, missing: str) -> tuple[DataFrame, Column]:
+    """The values under a policy for missing ones: omit (left out), propagate (NaN, so results are NaN) or raise (an error when the plan runs)."""
+    v = F.col(x).cast("double")
+    if missing == "omit":
+        return df, clean(v)
+    if missing == "propagate":
+        return df, F.coalesce(v, F.lit(float("nan")))
+    if missing == "raise":
+        return df, F.when(v.isNull() | F.isnan(v), F.raise_error(F.lit(f"{x} has missing values")).cast("double")).otherwise(v)
+    raise ValueError("missing must be omit, propagate or raise")
+
+
+def geometric_mean(df: DataFrame, keys: Sequence[str], x: str, zeros: str = "propagate", missing: str = "omit") -> DataFrame:
+    """zeros: propagate (the mean is 0), nan (left out like missing ones) or raise. Negative values give null."""
+    df, v = no_missing(df, x, missing)
+    if zeros == "raise":
+        v = F.when(v == 0, F.raise_error(F.lit(f"{x} has zeros")).cast("double")).otherwise(v)
     mean = F.when(F.count_if(v < 0) == 0, F.exp(F.avg(F.when(v > 0, F.ln(v)))))
     mean = F.when(F.count_if(v == 0) > 0, F.lit(0.0)).otherwise(mean) if zeros == "propagate" else mean
     return df.groupBy(*keys).agg(mean.alias("geometric_mean"))
@@ -36,10 +51,14 @@ def sparsity(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     return df.groupBy(*keys).agg((1 - F.try_divide(F.pow(F.avg(v), 2), F.nullif(F.avg(v * v), F.lit(0.0)))).alias("sparsity"))
 
 
-def error_interval(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """Mean with std (ddof 0) and sem; n counts the rows."""
-    v = clean(F.col(x))
-    return df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), (F.stddev_pop(v) / F.sqrt(F.count("*"))).alias("sem"), F.count("*").alias("n"))
+def error_interval(df: DataFrame, keys: Sequence[str], x: str, error: str = "sem", confidence: float = 0.95, missing: str = "omit") -> DataFrame:
+    """Mean with std (ddof 0), sem, n (all rows) and the bounds mean -+ std, sem or, for ci, sem times Student's quantile."""
+    if not 0 < confidence < 1 or error not in ("std", "sem", "ci"):
+        raise ValueError("confidence must be between 0 and 1, error one of std, sem and ci")
+    df, v = no_missing(df, x, missing)
+    out = df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"), F.count("*").alias("n")).withColumn("sem", F.col("std") / F.sqrt("n"))
+    half = F.col("std") if error == "std" else F.col("sem") if error == "sem" else F.col("sem") * t_of_p((1 + confidence) / 2, F.col("n") - 1)
+    return out.withColumn("_half", half).withColumns({"lower": F.col("mean") - F.col("_half"), "upper": F.col("mean") + F.col("_half")}).drop("_half")
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], x: str, ps: Sequence[float]) -> DataFrame:
@@ -47,9 +66,41 @@ def quantiles(df: DataFrame, keys: Sequence[str], x: str, ps: Sequence[float]) -
 
 
 def paired_ratio_t(df: DataFrame, keys: Sequence[str], a: str, b: str) -> DataFrame:
-    """t statistic of the mean log ratio and its degrees of freedom."""
+    """t statistic of the mean log ratio, its degrees of freedom and two-tailed p."""
     d = F.ln(F.col(a) / F.col(b))
-    return df.groupBy(*keys).agg(F.try_divide(F.avg(d), F.nullif(F.stddev_samp(d) / F.sqrt(F.count(d)), F.lit(0.0))).alias("t"), (F.count(d) - 1).alias("dof"))
+    out = df.groupBy(*keys).agg(F.try_divide(F.avg(d), F.nullif(F.stddev_samp(d) / F.sqrt(F.count(d)), F.lit(0.0))).alias("t"), (F.count(d) - 1).alias("dof"))
+    return out.withColumn("p", p_of_t(F.col("t"), F.col("dof")))
+
+
+def two_sample_tests(df: DataFrame, keys: Sequence[str], x: str, second: Column) -> DataFrame:
+    """Student's and Welch's t and the Mann-Whitney U of the rows where ``second`` is false against those where it is true, each with p two-tailed, greater and less.
+
+    All from sums by group and by distinct value: no group is gathered. U's p is the normal one, with corrections for
+    ties and continuity.
+    """
+    part = df.select(*keys, clean(F.col(x)).alias("_x"), second.alias("_s")).where("_x is not null and _s is not null")
+    side = lambda f, s: f(F.when(F.col("_s") == s, F.col("_x")))
+    sums = part.groupBy(*keys).agg(*(side(f, s).alias(f"{n}{i}") for i, s in ((1, False), (2, True)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))))
+    n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
+    pooled = F.try_divide((n1 - 1) * F.col("v1") + (n2 - 1) * F.col("v2"), F.nullif(n1 + n2 - 2, F.lit(0.0)))
+    gap, e1, e2 = F.col("m1") - F.col("m2"), F.col("v1") / n1, F.col("v2") / n2
+    over = lambda a, b: F.try_divide(a, F.nullif(b, F.lit(0.0)))
+    out = sums.withColumns({"t": over(gap, F.sqrt(pooled * (1 / n1 + 1 / n2))), "dof": n1 + n2 - 2, "welch": over(gap, F.sqrt(e1 + e2)),
+                            "welch_dof": over(F.pow(e1 + e2, 2), e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1))})
+    each = part.groupBy(*keys, "_x").agg(F.count_if(~F.col("_s")).alias("_a"), F.count("*").alias("_c"))
+    before = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
+    rank = F.coalesce(F.sum("_c").over(before), F.lit(0)) + (F.col("_c") + 1) / 2
+    ranks = each.withColumn("_r", rank).groupBy(*keys).agg(F.sum(F.col("_r") * F.col("_a")).alias("_w"), F.sum(F.pow(F.col("_c").cast("double"), 3) - F.col("_c")).alias("_ties"))
+    out = out.join(ranks, list(keys)).withColumn("u", F.col("_w") - n1 * (n1 + 1) / 2)
+    n = n1 + n2
+    spread = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("_ties") / (n * (n - 1))))
+    z = lambda shift: over(F.col("u") - n1 * n2 / 2 + shift, spread)
+    out = out.withColumns({"_up": z(-0.5), "_down": z(0.5)})
+    tail = lambda c: p_of_z(F.abs(c), two_tailed=False)
+    upper = lambda c: F.when(c >= 0, tail(c)).otherwise(1 - tail(c))
+    ps = {f"{name}_{tail_}": p_of_t(F.col(t), F.col(d), tail_) for name, t, d in (("t", "t", "dof"), ("welch", "welch", "welch_dof")) for tail_ in ("two", "greater", "less")}
+    out = out.withColumns(ps).withColumns({"u_greater": upper(F.col("_up")), "u_less": upper(-F.col("_down"))})
+    return out.withColumn("u_two", F.least(F.lit(1.0), 2 * F.least("u_greater", "u_less"))).drop("_w", "_ties", "_up", "_down")
 
 
 def circular(df: DataFrame, keys: Sequence[str], x: str, high: float = TAU, low: float = 0.0) -> DataFrame:
@@ -71,6 +122,13 @@ def phase_consistency(df: DataFrame, keys: Sequence[str], phase: str, weight: st
     return df.groupBy(*keys).agg(F.try_divide(s * s + c * c - n, F.nullif(total * total - n, F.lit(0.0))).alias("ppc"))
 
 
+def phase_consistency_windowed(df: DataFrame, keys: Sequence[str], phase: str, window: str) -> DataFrame:
+    """Pairwise phase consistency of phases tapered by a window; the number of pairs is that of all rows."""
+    p, w, n = clean(F.col(phase)), F.col(window).cast("double"), F.count("*")
+    s, c = F.sum(w * F.sin(p)), F.sum(w * F.cos(p))
+    return df.groupBy(*keys).agg(F.try_divide(s * s + c * c - n, F.nullif((n * (n - 1)).cast("double"), F.lit(0.0))).alias("ppc"))
+
+
 def losses(df: DataFrame, keys: Sequence[str], y: str, pred: str) -> DataFrame:
     """Scaled squared error, explained variance by the prediction and by its best line."""
     e = F.col(y) - F.col(pred)

@@ -59,6 +59,18 @@ def moments(df: DataFrame, vector: str) -> Moments:
     return Moments(int(n), mean, m[1:, :k] - n * np.outer(mean, mean))
 
 
+def _mapped(df: DataFrame, vector: Column, rows: np.ndarray, out: str) -> DataFrame:
+    """Adds the products of a vector with each row of a small matrix, as native expressions."""
+    one = lambda w: F.aggregate(F.zip_with(F.col("_c"), F.lit(w.tolist()), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return df.withColumn("_c", vector).withColumn(out, F.array(*(one(w) for w in rows))).drop("_c")
+
+
+def unmixed(components: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """Weight vectors, given for the first components, in the space of the features."""
+    weights = weights[:, None] if weights.ndim == 1 else weights
+    return components[:, : len(weights)] @ weights
+
+
 @dataclass
 class PrincipalComponents:
     mean: np.ndarray
@@ -69,9 +81,17 @@ class PrincipalComponents:
     def scores(self, df: DataFrame, vector: str, whiten: bool = False) -> DataFrame:
         """Adds ``scores`` from the stored mean, as native expressions."""
         c = self.components / (np.sqrt(self.variance)[:, None] if whiten else 1)
-        centred = F.zip_with(vector, F.lit(self.mean.tolist()), lambda a, b: a - b)
-        one = lambda w: F.aggregate(F.zip_with(F.col("_c"), F.lit(w.tolist()), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-        return df.withColumn("_c", centred).withColumn("scores", F.array(*(one(w) for w in c))).drop("_c")
+        return _mapped(df, F.zip_with(vector, F.lit(self.mean.tolist()), lambda a, b: a - b), c, "scores")
+
+    def restored(self, df: DataFrame, scores: str = "scores", out: str = "restored") -> DataFrame:
+        """The vectors that the scores stand for."""
+        back = _mapped(df, F.col(scores), self.components.T, "_back")
+        return back.withColumn(out, F.zip_with("_back", F.lit(self.mean.tolist()), lambda a, b: a + b)).drop("_back")
+
+    def zca(self, df: DataFrame, vector: str, n: int, eps: float = 1e-5, out: str = "whitened") -> DataFrame:
+        """ZCA whitening by the components over their singular values; ``n``: the rows the components were fitted on."""
+        w = self.components.T / (np.sqrt(self.variance * (n - 1)) + eps) @ self.components
+        return _mapped(df, F.zip_with(vector, F.lit(self.mean.tolist()), lambda a, b: a - b), w.T, out)
 
 
 def pca(df: DataFrame, vector: str, k: int) -> PrincipalComponents:

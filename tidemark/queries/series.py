@@ -20,6 +20,9 @@ W = "over (partition by user_id order by ts, event_id{})"
 IX = "(select *, row_number() over (partition by user_id order by ts, event_id) - 1 as t, count(*) over (partition by user_id) as n from events)"
 
 
+_LAGGED = "(select *, coalesce(lag(value) over (partition by user_id order by ts, event_id), 0) as y, row_number() over (partition by user_id order by ts, event_id) - 1 as t, count(*) over (partition by user_id) as n from events)"
+
+
 def rows(frame: str = "") -> str:
     return W.format(f" rows between {frame}" if frame else "")
 
@@ -242,7 +245,8 @@ def gaussian_smooth(spark, d):
     return S.convolve(events(spark, d), E, _G, correct_edge=True).select("event_id", r6("conv").alias("conv"))
 
 
-@R.add()
+@R.add(f"""with recursive d as (select user_id, t, value, event_id from {IX}), y as (select user_id, t, value, event_id, 0.0::double as damped from d where t = 0
+union all select d.user_id, d.t, d.value, d.event_id, 0.9 * y.damped + d.value - y.value from y join d on d.user_id = y.user_id and d.t = y.t + 1) select event_id, round(damped, 6) + 0.0 as damped from y""")
 def dampening_filter(spark, d):
     return S.dampen(events(spark, d).select("event_id", "user_id", "ts", "value"), E, 0.9).select("event_id", r6("damped").alias("damped"))
 
@@ -329,14 +333,21 @@ def session_events(spark, d):
     return part.groupBy("user_id", F.session_window("at", "1 day").alias("w")).agg(F.count("*").alias("n")).select("user_id", F.col("w.start").cast("timestamp_ntz").alias("start"), "n")
 
 
-@R.add()
+_SEG = f"(select a.user_id, a.t // 8 as s, b.t - a.t as o, b.value as x, b.y from {_LAGGED} a join {_LAGGED} b on a.user_id = b.user_id and b.t >= a.t and b.t < a.t + 16 where a.t % 8 = 0 and a.t + 16 <= a.n)"
+_SPECTRA = f"""(select user_id, s, k, sum(x * cos(w)) as xr, -sum(x * sin(w)) as xi, sum(y * cos(w)) as yr, -sum(y * sin(w)) as yi from (
+select user_id, s, k, (x - avg(x) over g) * h as x, (y - avg(y) over g) * h as y, {TAU!r} * k * o / 16 as w from (select *, 0.5 - 0.5 * cos({TAU!r} * o / 16) as h from {_SEG}), range(9) r(k) window g as (partition by user_id, s, k)) group by user_id, s, k)"""
+
+
+@R.add(f"""select user_id, k / 16.0::double as frequency, round((pow(sum(xr * yr + xi * yi), 2) + pow(sum(xr * yi - xi * yr), 2)) / nullif(sum(xr * xr + xi * xi) * sum(yr * yr + yi * yi), 0), 5) + 0.0 as coherence from {_SPECTRA} group by 1, 2""")
 def coherence(spark, d):
-    return spectral.coherence(E.indexed(events(spark, d)).withColumn("other", F.lag("value", 1, 0.0).over(E.window)), E, "other", nperseg=16)
+    part = events(spark, d).withColumn("other", F.lag("value", 1, 0.0).over(E.window))
+    return spectral.coherence(part, E, "other", nperseg=16).withColumn("coherence", F.round("coherence", 5) + 0.0)
 
 
-@R.add()
+@R.add(f"""select user_id, round(k / max(n)::double, 9) as frequency, round((pow(sum(x * cos(w)), 2) + pow(sum(x * sin(w)), 2)) / max(n), 4) + 0.0 as power from (
+select user_id, k, n, value - avg(value) over (partition by user_id, k) as x, {TAU!r} * ((k * t) % n) / n as w from (select *, unnest(range(n // 2 + 1)) as k from {IX})) group by 1, k""")
 def power_spectrum(spark, d):
-    return spectral.power(events(spark, d), E)
+    return spectral.power(events(spark, d), E).withColumns({"frequency": F.round("frequency", 9), "power": F.round("power", 4) + 0.0})
 
 
 @R.add()

@@ -46,9 +46,9 @@ def sparsity(spark, d):
     return T.sparsity(lineitem(spark, d), ["l_suppkey"], "l_discount").withColumn("sparsity", r6("sparsity"))
 
 
-@R.add("select l_suppkey, round(avg(l_tax), 6) + 0.0 as mean, round(stddev_pop(l_tax), 6) + 0.0 as std, round(stddev_pop(l_tax) / sqrt(count(*)), 6) + 0.0 as sem, count(*) as n from lineitem group by 1")
+@R.add("select l_suppkey, round(avg(l_tax), 6) + 0.0 as mean, round(stddev_pop(l_tax), 6) + 0.0 as std, round(stddev_pop(l_tax) / sqrt(count(*)), 6) + 0.0 as sem, count(*) as n, round(avg(l_tax) - stddev_pop(l_tax) / sqrt(count(*)), 6) + 0.0 as lower, round(avg(l_tax) + stddev_pop(l_tax) / sqrt(count(*)), 6) + 0.0 as upper from lineitem group by 1")
 def error_interval(spark, d):
-    return T.error_interval(lineitem(spark, d), ["l_suppkey"], "l_tax").select("l_suppkey", *(r6(c).alias(c) for c in ("mean", "std", "sem")), "n")
+    return T.error_interval(lineitem(spark, d), ["l_suppkey"], "l_tax").select("l_suppkey", *(r6(c).alias(c) for c in ("mean", "std", "sem", "lower", "upper")), "n")
 
 
 @R.add("select l_suppkey, round(quantile_cont(l_extendedprice, 0.1), 4) + 0.0 as p10, round(quantile_cont(l_extendedprice, 0.9), 4) + 0.0 as p90 from lineitem group by 1")

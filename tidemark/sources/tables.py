@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
+import io
+import zipfile
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import ship
+
 
 def read_json(spark: SparkSession, path: str, schema=None) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True) if schema is not None else spark.read.json(path, multiLine=True)
@@ -88,3 +96,36 @@ def parse_url(url: Column) -> Column:
     """Dialect, user, host, port and database of a connection URL; missing parts are null."""
     part = lambda g: F.nullif(F.regexp_extract(url, r"^([\w+]+)://(?:([^:@/]*)(?::([^@/]*))?@)?([^:/?]*)(?::(\d+))?(?:/([^?]*))?", g), F.lit(""))
     return F.struct(part(1).alias("dialect"), part(2).alias("user"), part(4).alias("host"), part(5).try_cast("int").alias("port"), part(6).alias("database"))
+
+
+def read_arrays(spark: SparkSession, root: str) -> DataFrame:
+    """(path, i, row): the rows of .npy files of one or two dimensions, decoded on the executors; a file is the unit of memory."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                a = np.load(io.BytesIO(content), allow_pickle=False)
+                a = a.reshape(len(a), -1) if a.ndim else a.reshape(1, 1)
+                for lo in range(0, len(a), 4096):
+                    part = a[lo : lo + 4096].astype(float)
+                    yield pd.DataFrame({"path": path, "i": np.arange(lo, lo + len(part)), "row": list(part)})
+
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", "content").mapInPandas(run, "path string, i long, row array<double>")
+
+
+def read_archives(spark: SparkSession, root: str) -> DataFrame:
+    """(path, name, content): the files in .zip archives, unpacked on the executors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"], strict=True):
+                with zipfile.ZipFile(io.BytesIO(content)) as z:
+                    for name in z.namelist():
+                        if not name.endswith("/"):
+                            yield pd.DataFrame({"path": [path], "name": [name], "content": [z.read(name)]})
+
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", "content").mapInPandas(run, "path string, name string, content binary")
