@@ -103,9 +103,9 @@ def linked(parts: DataFrame) -> DataFrame:
 def hits(docs: DataFrame) -> DataFrame:
     """(doc_id, h, found) of the texts in which something is found: an array of (start, rank, end, kind) in order of start, then of KINDS. A written table."""
     spool = Spool(docs.sparkSession)
-    scanned = scan(docs)
+    scanned = spool.cut(scan(docs), "scanned")  # written first, as the filter would otherwise run the patterns once more
     some = scanned.where(F.greatest(*(F.coalesce(F.size(c), F.lit(0)) for c in scanned.columns[2:])) > 0).dropDuplicates(["doc_id", "h"])
-    parts = spool.cut(located(spool.cut(some, "scanned")), "parts")
+    parts = spool.cut(located(some), "parts")
     strong = parts.where(F.col("kind").isin(*KINDS[:3]))
     every = strong.unionByName(linked(parts)).distinct()
     rank = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
