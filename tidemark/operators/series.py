@@ -86,8 +86,11 @@ def threshold(x: Column, low: float | None, high: float | None, low_value: float
 
 def scale_between(df: DataFrame, spec: SeriesSpec, low: float = 0, high: float = 1, percentiles: tuple[float, float] | None = None, clip: bool = True, out: str = "scaled") -> DataFrame:
     """Linear scale of each series from its extremes, or two of its quantiles, to [low, high]."""
-    a, b = (F.min(spec.x), F.max(spec.x)) if percentiles is None else tuple(F.percentile(spec.x, F.lit(p)) for p in percentiles)
-    part = with_totals(df, spec.keys, _a=a, _b=b)
+    if percentiles is None:
+        part = with_totals(df, spec.keys, _a=F.min(spec.x), _b=F.max(spec.x))
+    else:
+        part = with_totals(df, spec.keys, _q=F.percentile(spec.x, F.array(*map(F.lit, percentiles))))
+        part = part.withColumns({"_a": F.get("_q", F.lit(0)), "_b": F.get("_q", F.lit(1))}).drop("_q")
     y = F.try_divide(spec.x - F.col("_a"), F.nullif(F.col("_b") - F.col("_a"), F.lit(0.0))) * (high - low) + low
     return part.withColumn(out, F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), y)) if clip else y).drop("_a", "_b")
 
