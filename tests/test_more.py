@@ -320,3 +320,116 @@ def test_rank_ranges(spark):
     assert got == {int(a): i + int(v.min()) for i, a in enumerate(np.unique(v))}
     with pytest.raises(ValueError):
         T.confusion(spark.createDataFrame([(i, i) for i in range(50)], "p int, t int"), "p", "t", most=100)
+
+
+def test_assignment_and_permutation(spark):
+    import itertools
+
+    rng = np.random.default_rng(11)
+    for n, m in ((1, 1), (4, 4), (5, 3), (3, 6), (6, 6)):
+        score = rng.normal(size=(n, m))
+        got = M.assignment(score)
+        total = sum(score[i, k] for i, k in enumerate(got) if k >= 0)
+        best = max(sum(score[i, k] for i, k in enumerate(p)) for p in itertools.permutations(range(m), n)) if n <= m else max(sum(score[i, k] for k, i in enumerate(p)) for p in itertools.permutations(range(n), m))
+        assert abs(total - best) < 1e-9 and len({k for k in got if k >= 0}) == min(n, m)
+    a = rng.normal(size=(30, 5))
+    turn = rng.permutation(5)
+    b = a[:, turn] + 0.01 * rng.normal(size=a.shape)
+    cells = lambda x: spark.createDataFrame([(i, j, float(v)) for (i, j), v in np.ndenumerate(x)], "i long, j long, v double")
+    for kind in ("pearson", "cosine"):
+        got = M.best_permutation(cells(a), cells(b), kind)
+        assert all(turn[q] == p and s > 0.99 for p, q, s in got) and len(got) == 5
+
+
+def test_point_density(spark):
+    rng = np.random.default_rng(12)
+    pts, bins, sigma = rng.normal(size=(400, 2)), (16, 12), 1.3
+    got = M.point_density(spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(pts)], "i int, x double, y double"), "x", "y", bins, sigma).orderBy("i").toPandas()["density"]
+    h, _, _ = np.histogram2d(*pts.T, bins=bins)
+    reach = int(4 * sigma + 0.5)
+    w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+    for axis in (0, 1):
+        h = np.apply_along_axis(lambda r: np.convolve(np.pad(r, reach, mode="edge"), w / w.sum(), "valid"), axis, h)
+    g = [(c - c.min()) / (c.max() - c.min() + 1e-12) * (n - 1) for c, n in zip(pts.T, bins, strict=True)]
+    lo = [np.minimum(a.astype(int), n - 2) for a, n in zip(g, bins, strict=True)]
+    f = [a - b for a, b in zip(g, lo, strict=True)]
+    want = sum(h[lo[0] + p, lo[1] + q] * (f[0] if p else 1 - f[0]) * (f[1] if q else 1 - f[1]) for p in (0, 1) for q in (0, 1))
+    assert np.allclose(got, want, atol=1e-6)
+
+
+def test_rotations_and_orthonormal(spark):
+    rng = np.random.default_rng(13)
+    a = rng.normal(size=(80, 3))
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    df = spark.createDataFrame([(i, x.tolist(), y.tolist()) for i, (x, y) in enumerate(zip(a, a @ turn, strict=True))], "i int, a array<double>, b array<double>").repartition(3)
+    got, scale = models.procrustes(df, "a", "b")
+    assert np.allclose(got, turn) and abs(scale - np.linalg.svd(a.T @ (a @ turn), compute_uv=False).sum()) < 1e-6
+    out = np.array([r["orthonormal"] for r in models.nearest_orthonormal(df, "a").orderBy("i").collect()])
+    u, _, v = np.linalg.svd(a - a.mean(axis=0), full_matrices=False)
+    assert np.allclose(out, u @ v) and np.allclose(out.T @ out, np.eye(3))
+    p = models.incremental_pca([df.where("i < 30"), df.where("i >= 30"), df.where("i > 900")], "a", 2)
+    assert np.allclose(p.variance, models.pca(df, "a", 2).variance) and np.allclose(p.components, models.pca(df, "a", 2).components)
+
+
+def test_orthogonalise_many(spark):
+    rng = np.random.default_rng(14)
+    x = rng.normal(size=(100, 2))
+    y = np.column_stack([x @ [1.0, 2.0] + rng.normal(size=100), rng.normal(size=100)]) + 5
+    df = spark.createDataFrame([(i, *map(float, (*a, *b, a[0] * 2))) for i, (a, b) in enumerate(zip(x, y, strict=True))], "i int, a double, b double, p double, q double, c double")
+    rest, share, total = models.orthogonalise_from(df, ["p", "q"], ["a", "b", "c"])  # c repeats a
+    got = rest.orderBy("i").select("p_rest", "q_rest").toPandas().to_numpy()
+    full = np.column_stack([x - x.mean(axis=0)])
+    want = y - full @ np.linalg.lstsq(full, y - y.mean(axis=0), rcond=None)[0]
+    assert np.allclose(got, want) and np.allclose([share["p"], share["q"]], 1 - want.var(axis=0) / y.var(axis=0)) and abs(total - (1 - want.var(axis=0).sum() / y.var(axis=0).sum())) < 1e-9
+    means = x.mean(axis=0), y.mean(axis=0)
+    w = np.linalg.lstsq(full, y - means[1], rcond=None)[0]
+    predicted = np.array([r["predicted"] for r in models.predicted(df, ["a", "b"], w, means).orderBy("i").collect()])
+    assert np.allclose(predicted, full @ w + means[1])
+
+
+def test_splits_batches_and_chunks(spark):
+    df = spark.range(2000).select((F.col("id") % 100).alias("g"), "id")
+    s = models.shuffle_splits(df, ["g"], 3, 0.3)
+    assert s.count() == 6000 and s.groupBy("split", "g").agg(F.count_distinct("test").alias("n")).where("n > 1").count() == 0
+    share = s.groupBy("split").agg(F.avg(F.col("test").cast("int")).alias("m")).collect()
+    assert all(0.1 < r["m"] < 0.5 for r in share)
+    sizes = [r["count"] for r in P.random_batches(df, 100, 1, "id").groupBy("batch").count().collect()]
+    assert len(sizes) == 20 and sum(sizes) == 2000 and max(sizes) < 160
+    chunks = P.random_chunks(frame(spark, a=range(50), b=range(7)), SPEC, 8).groupBy("s", "chunk").agg(F.array_sort(F.collect_list("value")).alias("v")).collect()
+    assert all(len(r["v"]) == 8 and r["v"][-1] - r["v"][0] == 7 for r in chunks) and len([r for r in chunks if r["s"] == "a"]) >= 5 and not [r for r in chunks if r["s"] == "b"]
+
+
+def test_more_images(spark):
+    a = np.arange(20.0).reshape(4, 5)
+    moved = I.shift_images(long(spark, a=a), spark.createDataFrame([("a", 1.0, -0.5)], "img string, dy double, dx double"), 4, 5).toPandas().pivot(index="y", columns="x", values="v")
+    full = np.zeros((4, 5))
+    for y in range(3):
+        for x in range(5):
+            for k, w in ((x - 1, 0.5), (x, 0.5)):
+                if 0 <= k < 5:
+                    full[y + 1, k] += w * a[y, x]
+    assert np.allclose(moved.reindex(index=range(4), columns=range(5)).fillna(0).to_numpy(), full)
+    ident = long(spark, a=a).select("img", "y", "x", F.col("y").cast("double").alias("map_y"), F.col("x").cast("double").alias("map_x"))
+    half = ident.withColumns({"map_y": F.col("y") + 0.5, "map_x": F.col("x") * 0.5})
+    got = I.compose_maps(ident, half).toPandas()
+    assert len(got) == 15 and np.allclose(got["map_y"], got["y"] + 0.5) and np.allclose(got["map_x"], got["x"] * 0.5)
+    noisy = I.poisson_noise(long(spark, a=np.full((30, 30), 4.0)), 10.0).toPandas()["v"]
+    assert abs(noisy.mean() - 4) < 0.1 and abs(noisy.var() - 0.4) < 0.1
+    striped = I.scale_stripes(long(spark, a=np.ones((4, 2)))).groupBy((F.col("y") % 2).alias("odd")).agg(F.min("v").alias("a"), F.max("v").alias("b")).collect()
+    assert all(0.5 <= r["a"] == r["b"] < 1 for r in striped)
+    shifted = I.shift_stripes(long(spark, a=np.tile(np.arange(10.0), (2, 1))), 10, 4, 4).toPandas()
+    gap = (shifted["x"] - shifted["v"]).groupby(shifted["y"]).first()
+    assert abs(gap[1] - gap[0]) == 4
+
+
+def test_samples(spark):
+    from tidemark.plans import samples
+
+    pts = samples.correlated_2d(spark, [(0, 0), (5, 1)], [(1, 2), (1, 1)], [0.8, -0.5], [4000, 3000]).toPandas()
+    one = pts[pts["mode"] == 0]
+    assert len(pts) == 7000 and abs(np.corrcoef(one["x"], one["y"])[0, 1] - 0.8) < 0.05 and abs(one["y"].std() - 2) < 0.1
+    v = spark.range(5000).select(samples.log_uniform(1, 100, 3).alias("v")).toPandas()["v"]
+    assert v.between(1, 100).all() and abs(np.log10(v).mean() - 1) < 0.05
+    assert samples.map_items(spark, lambda x: x * x, range(7)) == [x * x for x in range(7)] and samples.map_items(spark, str, []) == []
+    got = samples.map_vectors(spark.createDataFrame([([3.0, 1.0, 2.0],)], "v array<double>"), "v", np.sort, "s").first()["s"]
+    assert got == [1, 2, 3]

@@ -74,3 +74,10 @@ def changing(df: DataFrame, params: Column) -> DataFrame:
 def grid(spark: SparkSession, space: dict[str, list]) -> DataFrame:
     """One row for each combination of the listed values."""
     return spark.createDataFrame([tuple(p) for p in product(*space.values())], list(space))
+
+
+def flat(values: Column, depth: int) -> Column:
+    """An array of arrays, ``depth`` levels deep, as one array."""
+    for _ in range(depth - 1):
+        values = F.flatten(values)
+    return values

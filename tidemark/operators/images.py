@@ -238,3 +238,57 @@ def multiply_at_random(df: DataFrame, low: float, high: float, seed: int = 0) ->
 def without_nan(df: DataFrame) -> DataFrame:
     """Raises when a pixel is NaN."""
     return df.withColumn("v", F.when(F.isnan("v"), F.raise_error(F.lit("image has NaN")).cast("double")).otherwise(F.col("v")))
+
+
+def _draw(seed: int, salt: int, *by: str) -> Column:
+    """A number in [0, 1) by hash."""
+    return F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), *by), F.lit(1_000_000)) / 1_000_000
+
+
+def poisson_noise(df: DataFrame, scale: float, seed: int = 0) -> DataFrame:
+    """Each pixel as a Poisson count of its value times the scale, over the scale; drawn by the hash of its place, so the same under any partitioning."""
+
+    @F.pandas_udf("double")
+    def counts(mean: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([float(np.random.default_rng(abs(int(k))).poisson(max(m, 0.0))) for m, k in zip(mean, key, strict=True)])
+
+    ship(df.sparkSession)
+    return df.withColumn("v", counts(F.col("v") * scale, F.xxhash64(F.lit(seed), "img", "y", "x")) / scale)
+
+
+def scale_stripes(df: DataFrame, low: float = 0.5, high: float = 1.0, seed: int = 0) -> DataFrame:
+    """The odd and the even lines of each image times a factor each, in [low, high)."""
+    return df.withColumn("v", F.col("v") * (low + (high - low) * F.when(F.col("y") % 2 == 1, _draw(seed, 1, "img")).otherwise(_draw(seed, 2, "img"))))
+
+
+def shift_stripes(df: DataFrame, width: int, least: int = 0, most: int = 5, seed: int = 0) -> DataFrame:
+    """Odd lines move one way and even ones the other, together by least..most pixels; what leaves the image is lost."""
+    by = (least + F.floor(_draw(seed, 1, "img") * (most - least + 1))) * F.when(_draw(seed, 2, "img") < 0.5, -1).otherwise(1)
+    moved = df.withColumn("x", F.col("x") + F.when(F.col("y") % 2 == 1, F.ceil(by / 2)).otherwise(-F.floor(by / 2)))
+    return moved.where(F.col("x").between(0, width - 1))
+
+
+def make_square(df: DataFrame, height: int, width: int) -> DataFrame:
+    side = max(height, width)
+    return pad_centre(df, height, width, (side, side))
+
+
+def shift_images(df: DataFrame, shifts: DataFrame, height: int, width: int) -> DataFrame:
+    """Images moved by (img, dy, dx), fractions bilinearly: each pixel is shared out to the four it falls on; outside is zero."""
+    at = df.join(shifts, "img").withColumns({"_y": F.col("y") + F.col("dy"), "_x": F.col("x") + F.col("dx")})
+    fy, fx = F.floor("_y"), F.floor("_x")
+    part = lambda c, f, k: F.col(c) - f if k else 1 - (F.col(c) - f)
+    corners = F.explode(F.array(*(F.struct((fy + a).alias("y"), (fx + b).alias("x"), (part("_y", fy, a) * part("_x", fx, b)).alias("w")) for a in (0, 1) for b in (0, 1))))
+    spread = at.select("img", "v", corners.alias("c")).select("img", "c.y", "c.x", (F.col("v") * F.col("c.w")).alias("v"), "c.w").where("w > 0")
+    return spread.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1)).groupBy("img", "y", "x").agg(F.sum("v").alias("v"))
+
+
+def compose_maps(first: DataFrame, second: DataFrame) -> DataFrame:
+    """(img, y, x, map_y, map_x): the map that reads through ``second`` what ``first`` reads; places outside are left out. Both: (img, y, x, map_y, map_x)."""
+    at = second.select("img", F.struct("y", "x").alias("id"), F.col("map_y").alias("py"), F.col("map_x").alias("px"))
+    read = lambda c: remap(first.select("img", "y", "x", F.col(c).alias("v")), at).withColumnRenamed("v", c)
+    return read("map_y").join(read("map_x"), ["img", "id"]).select("img", "id.y", "id.x", "map_y", "map_x")
+
+
+def grey_to_rgb(df: DataFrame) -> DataFrame:
+    return df.select("*", *(F.col("v").alias(c) for c in "rgb")).drop("v")

@@ -254,3 +254,106 @@ def paths(edges: DataFrame) -> DataFrame:
           union all select array_append(p.path, e.child), e.child from p join {view} e on e.parent = p.tip)
         select path, tip from p""")
     return found.join(edges.select(F.col("parent").alias("tip")).distinct(), "tip", "left_anti").select("path")
+
+
+def times(x: DataFrame, dense: DataFrame) -> DataFrame:
+    """The cells of a sparse matrix times those of another; cells the other hasn't are zero and left out."""
+    return x.join(dense.select("i", "j", F.col("v").alias("_w")), ["i", "j"]).select("i", "j", (F.col("v") * F.col("_w")).alias("v"))
+
+
+def filled(x: DataFrame, height: int, width: int, value: float = 0.0) -> DataFrame:
+    """All cells of a matrix, with a value for those it hasn't; made by rows, so the result is as large as asked."""
+    rows = x.sparkSession.range(height).select(F.col("id").alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(width - 1).cast("long"))).alias("j"))
+    return rows.join(x, ["i", "j"], "left").withColumn("v", F.coalesce("v", F.lit(float(value))))
+
+
+def assignment(score: np.ndarray) -> np.ndarray:
+    """For each row of a small matrix its column, all different, such that the scores add up to the most: shortest augmenting paths."""
+    if score.shape[0] > score.shape[1]:
+        back, out = assignment(score.T), np.full(score.shape[0], -1)
+        out[back] = np.arange(score.shape[1])
+        return out
+    cost = score.max(initial=0) - score
+    n, m = cost.shape
+    row_price, column_price, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for r in range(n):
+        far, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        at, base, column = r, 0.0, -1
+        while True:
+            new = base + cost[at] - row_price[at] - column_price
+            better = ~done & (new < far)
+            far[better], came[better] = new[better], column
+            column = int(np.where(done, np.inf, far).argmin())
+            base = far[column]
+            done[column] = True
+            if owner[column] < 0:
+                break
+            at = owner[column]
+        used = done & (owner >= 0)
+        row_price[owner[used]] += base - far[used]
+        row_price[r] += base
+        column_price[done] -= base - far[done]
+        while column >= 0:
+            before = came[column]
+            owner[column] = owner[before] if before >= 0 else r
+            column = before
+    out = np.full(n, -1)
+    out[owner[owner >= 0]] = np.flatnonzero(owner >= 0)
+    return out
+
+
+def best_permutation(a: DataFrame, b: DataFrame, kind: str = "pearson", most: int = 2000) -> list[tuple[int, int, float]]:
+    """(column of a, column of b, similarity): the matching of the columns of two matrices (i, j, v) with the largest sum of products.
+
+    The table of products, columns by columns, is collected, so more than ``most`` columns are an error. ``kind``: pearson or cosine.
+    """
+    met = a.select("i", F.col("j").alias("p"), F.col("v").alias("x")).join(b.select("i", F.col("j").alias("q"), F.col("v").alias("y")), "i")
+    if max(a.select("j").distinct().count(), b.select("j").distinct().count()) > most:
+        raise ValueError("too many columns to match")
+    cosine_of = F.try_divide(F.sum(F.col("x") * F.col("y")), F.nullif(F.sqrt(F.sum(F.col("x") * F.col("x")) * F.sum(F.col("y") * F.col("y"))), F.lit(0.0)))
+    rows = met.groupBy("p", "q").agg(F.sum(F.col("x") * F.col("y")).alias("dot"), (F.corr("x", "y") if kind == "pearson" else cosine_of).alias("s")).collect()
+    ps, qs = sorted({r["p"] for r in rows}), sorted({r["q"] for r in rows})
+    dot = np.zeros((len(ps), len(qs)))
+    like = {}
+    for r in rows:
+        dot[ps.index(r["p"]), qs.index(r["q"])] = r["dot"]
+        like[r["p"], r["q"]] = r["s"]
+    return [(ps[i], qs[k], like.get((ps[i], qs[k]))) for i, k in enumerate(assignment(dot)) if k >= 0]
+
+
+def point_density(df: DataFrame, x: str, y: str, bins: tuple[int, int] = (1024, 1024), sigma: float = 1.0, bounds: tuple[tuple[float, float], tuple[float, float]] | None = None, eps: float = 1e-12, out: str = "density") -> DataFrame:
+    """Adds a binned kernel density: counts by cell, blurred by a Gaussian of ``sigma`` cells (edge cells go on outside), read bilinearly at each point.
+
+    Cells and the kernel are joined, so the work follows the cells that hold points. Points outside the bounds count in no cell and read the edge.
+    """
+    if bounds is None:
+        r = df.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+        bounds = ((r[0], r[1]), (r[2], r[3]))
+    spark = df.sparkSession
+
+    def weights(n: int) -> DataFrame:
+        reach = int(4 * sigma + 0.5)
+        w = np.exp(-0.5 * (np.arange(-reach, reach + 1) / sigma) ** 2)
+        w /= w.sum()
+        rows: dict[tuple[int, int], float] = {}
+        for t in range(n):
+            for k in range(-reach, reach + 1):
+                s = min(max(t + k, 0), n - 1)
+                rows[t, s] = rows.get((t, s), 0.0) + float(w[k + reach])
+        return spark.createDataFrame([(t, s, v) for (t, s), v in rows.items()], "t long, s long, w double")  # bins times the kernel's width
+
+    cell = {}
+    for name, (lo, hi), n in (("cx", bounds[0], bins[0]), ("cy", bounds[1], bins[1])):
+        c = F.col(x if name == "cx" else y)
+        cell[name] = F.when((c >= lo) & (c <= hi), F.least(F.floor((c - lo) / ((hi - lo) or 1) * n), F.lit(n - 1)))
+    grid = df.select(cell["cx"].alias("cx"), cell["cy"].alias("cy")).where("cx is not null and cy is not null").groupBy("cx", "cy").agg(F.count("*").alias("n"))
+    for name, n in (("cx", bins[0]), ("cy", bins[1])):
+        other = "cy" if name == "cx" else "cx"
+        grid = grid.join(F.broadcast(weights(n)), F.col(name) == F.col("s")).groupBy(F.col("t").alias(name), other).agg(F.sum(F.col("n") * F.col("w")).alias("n"))
+    place = lambda c, lo, hi, n: F.greatest(F.lit(0.0), F.least(F.lit(float(n - 1)), (F.col(c) - lo) / (hi - lo + eps) * (n - 1)))
+    points = df.withColumn("_row", F.monotonically_increasing_id())
+    at = points.select("_row", place(x, *bounds[0], bins[0]).alias("px"), place(y, *bounds[1], bins[1]).alias("py"))
+    fx, fy = F.floor("px"), F.floor("py")
+    corners = F.explode(F.array(*(F.struct((fx + a).alias("cx"), (fy + b).alias("cy"), ((F.col("px") - fx if a else 1 - F.col("px") + fx) * (F.col("py") - fy if b else 1 - F.col("py") + fy)).alias("w")) for a in (0, 1) for b in (0, 1))))
+    read = at.select("_row", corners.alias("c")).select("_row", "c.*").join(grid, ["cx", "cy"]).groupBy("_row").agg(F.sum(F.col("w") * F.col("n")).alias(out))
+    return points.join(read, "_row", "left").withColumn(out, F.coalesce(out, F.lit(0.0))).drop("_row")

@@ -64,3 +64,31 @@ def path_between(previous: DataFrame, start: int, end: int, most: int = 9999) ->
           select 0, cast({int(start)} as bigint)
           union all select step + 1, cast(e.previous as bigint) from walk join {view} e on e.node = walk.node where walk.node <> {int(end)} and step < {int(most)})
         select step, node from walk""")
+
+
+def sorted_positions(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """(keys, rank, t): the positions of each series in order of value, ties by position."""
+    held = spec.indexed(df)
+    return SeriesSpec(spec.keys, (spec.value, "t")).indexed(held, "rank").select(*spec.keys, "rank", "t")
+
+
+def extreme_positions(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """(keys, argmin, argmax): positions of the least and largest value of each series, the first on ties."""
+    held = spec.indexed(df).where(F.col(spec.value).isNotNull())
+    v, t = F.col(spec.value), F.col("t")
+    top = F.max(F.struct(v.alias("v"), (-t).alias("t")))["t"]
+    return held.groupBy(*spec.keys).agg(F.min(F.struct(v.alias("v"), t.alias("t")))["t"].alias("argmin"), (-top).alias("argmax"))
+
+
+def random_batches(df: DataFrame, size: int, seed: int = 0, *by: str) -> DataFrame:
+    """Adds the batch of a row, by hash of the columns ``by`` (all by default): about ``size`` rows each, in no order, without moving a row."""
+    n = max(1, -(-df.count() // size))
+    return df.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), *(by or df.columns)), F.lit(n)))
+
+
+def random_chunks(df: DataFrame, spec: SeriesSpec, size: int, seed: int = 0) -> DataFrame:
+    """(keys, chunk, offset, value): whole consecutive chunks of each series, which begin at a place by the hash of its keys; their order is by hash, too."""
+    part = spec.indexed(df.withColumn("_x", spec.x)).withColumns({"_n": F.count("*").over(spec.whole), "_s": F.pmod(F.xxhash64(F.lit(seed), *spec.keys), F.lit(size))})
+    part = part.withColumn("_c", F.floor((F.col("t") - F.col("_s")) / size))
+    whole = (F.col("t") >= F.col("_s")) & (F.col("_s") + (F.col("_c") + 1) * size <= F.col("_n"))
+    return part.where(whole).select(*spec.keys, F.xxhash64(F.lit(seed + 1), *spec.keys, "_c").alias("chunk"), F.pmod(F.col("t") - F.col("_s"), F.lit(size)).alias("offset"), F.col("_x").alias("value"))

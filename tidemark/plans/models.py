@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -96,7 +96,10 @@ class PrincipalComponents:
 
 def pca(df: DataFrame, vector: str, k: int) -> PrincipalComponents:
     """Components with the largest loading positive, variances (n - 1) and explained shares."""
-    m = moments(df, vector)
+    return components_of(moments(df, vector), k)
+
+
+def components_of(m: Moments, k: int) -> PrincipalComponents:
     values, vectors = np.linalg.eigh(m.scatter / max(m.n - 1, 1))
     order = np.argsort(values)[::-1]
     v = vectors[:, order].T
@@ -198,3 +201,72 @@ def explained_dimension(df: DataFrame, ratio: str, order: str, target: float) ->
     c = df.withColumn("_c", F.sum(ratio).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("_k", F.row_number().over(w))
     first = c.where(F.col("_c") >= target).agg(F.min(F.struct("_k", "_c", ratio)).alias("m"))
     return first.select((F.col("m._k") - F.try_divide(F.col("m._c") - target, F.col(f"m.{ratio}"))).alias("dimension"))
+
+
+def _raw(m: Moments) -> np.ndarray:
+    """Second moments about zero."""
+    return m.scatter + m.n * np.outer(m.mean, m.mean)
+
+
+def procrustes(df: DataFrame, a: str, b: str) -> tuple[np.ndarray, float]:
+    """The rotation that takes the vectors of one column closest to those of another, and the sum of the cross product's singular values; from one moment pass."""
+    both = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(F.concat(a, b).alias("v"))
+    cross = _raw(moments(both, "v"))
+    k = len(cross) // 2
+    u, s, v = np.linalg.svd(cross[:k, k:])
+    return u @ v, float(s.sum())
+
+
+def nearest_orthonormal(df: DataFrame, vector: str, centre: bool = True, out: str = "orthonormal") -> DataFrame:
+    """The matrix with orthonormal columns nearest to the one whose rows are given: each row times the inverse root of the second moments. Directions without any spread become zero."""
+    m = moments(df, vector)
+    values, vectors = np.linalg.eigh(m.scatter if centre else _raw(m))
+    root = np.where(values > values.max(initial=0) * 1e-12, 1 / np.sqrt(np.maximum(values, 1e-300)), 0)
+    shift = F.lit((m.mean if centre else np.zeros(len(m.mean))).tolist())
+    return _mapped(df, F.zip_with(vector, shift, lambda x, c: x - c), vectors * root @ vectors.T, out)
+
+
+def orthogonalise_from(df: DataFrame, targets: Sequence[str], others: Sequence[str], threshold: float = 1e-15) -> tuple[DataFrame, dict[str, float], float]:
+    """Adds ``<target>_rest``, what the other columns leave of each target, around its mean; with the explained share of each target and of all.
+
+    From one pass of moments; directions of the others that hold less than ``threshold`` of their variance are left out.
+    """
+    names = [*targets, *others]
+    m = moments(df.select(F.array(*(F.col(c).cast("double") for c in names)).alias("v")), "v")
+    t = len(targets)
+    values, vectors = np.linalg.eigh(m.scatter[t:, t:])
+    keep = values > threshold * max(values.sum(), 1e-300)
+    weights = (vectors[:, keep] / values[keep]) @ vectors[:, keep].T @ m.scatter[t:, :t]
+    total, taken = np.diag(m.scatter)[:t], np.einsum("ij,ij->j", m.scatter[t:, :t], weights)
+    rest = {}
+    for j, name in enumerate(targets):
+        fitted = F.lit(0.0)
+        for i, other in enumerate(others):
+            fitted = fitted + float(weights[i, j]) * (F.col(other) - float(m.mean[t + i]))
+        rest[f"{name}_rest"] = F.col(name) - fitted
+    share = {name: float(taken[j] / total[j]) if total[j] else float("nan") for j, name in enumerate(targets)}
+    return df.withColumns(rest), share, float(taken.sum() / total.sum()) if total.sum() else float("nan")
+
+
+def incremental_pca(parts: Iterable[DataFrame], vector: str, k: int) -> PrincipalComponents:
+    """Components of batches that come one after the other: only moments are kept between them."""
+    held = None
+    for part in parts:
+        m = moments(part, vector)
+        held = m if held is None or not held.n else merge_moments(held, m) if m.n else held
+    if held is None or not held.n:
+        raise ValueError("no rows")
+    return components_of(held, k)
+
+
+def predicted(df: DataFrame, xs: Sequence[str], coefficients: np.ndarray, means: tuple[np.ndarray, np.ndarray], out: str = "predicted") -> DataFrame:
+    """Adds the array of targets by coefficients (features x targets) about the means of features and targets."""
+    centred = F.array(*(F.col(c).cast("double") - float(a) for c, a in zip(xs, means[0], strict=True)))
+    back = _mapped(df, centred, coefficients.T, "_y")
+    return back.withColumn(out, F.zip_with("_y", F.lit(np.asarray(means[1], float).tolist()), lambda a, b: a + b)).drop("_y")
+
+
+def shuffle_splits(df: DataFrame, group: Sequence[str], splits: int, test_share: float = 0.5, seed: int = 0) -> DataFrame:
+    """Every row once a split, with ``test``: groups are dealt by hash, so a group is never split and about ``test_share`` of them are tests."""
+    each = df.withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
+    return each.withColumn("test", F.pmod(F.xxhash64(F.lit(seed), "split", *group), F.lit(1_000_000)) < test_share * 1_000_000)

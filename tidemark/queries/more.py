@@ -275,4 +275,50 @@ def groups_of_rows(spark, d):
     return part.select("l_orderkey", "l_linenumber", models.group_of(F.col("l_orderkey"), 100).alias("g"), F.col("c_name").isNull().alias("odd"))
 
 
+@R.add(f"select user_id, rank, t from (select user_id, t, row_number() over (partition by user_id order by value, t) - 1 as rank from {IX})")
+def sorted_positions(spark, d):
+    return P.sorted_positions(events(spark, d), E)
+
+
+@R.add(f"select user_id, arg_min(t, value * 1000000 + t * 1e-3) as argmin, arg_max(t, value * 1000000 - t * 1e-3) as argmax from {IX} group by 1")
+def extreme_positions(spark, d):
+    return P.extreme_positions(events(spark, d), E)
+
+
+@R.add("select o_orderkey, concat_ws(',', o_custkey, o_orderkey, 7, o_orderkey % 3) as flat from orders")
+def flat_arrays(spark, d):
+    from tidemark.functions.nested import flat
+
+    key = F.col("o_orderkey")
+    nested = F.array(F.array(F.array(F.col("o_custkey"), key)), F.array(F.array(F.lit(7).cast("long")), F.array(key % 3)))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(flat(nested, 3), ",").alias("flat"))
+
+
+@R.add(f"select a.i, a.j, round(a.v * b.v, 6) + 0.0 as v from {_CELLS} a join (select i, j, v from {_CELLS} where (i + j) % 2 = 0) b on a.i = b.i and a.j = b.j")
+def sparse_times(spark, d):
+    cells = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("i"), F.col("l_linenumber").cast("long").alias("j")).agg(F.round(F.sum("l_tax"), 4).alias("v"))
+    return M.times(cells, cells.where("(i + j) % 2 = 0")).withColumn("v", r6("v"))
+
+
+@R.add(f"select r.i, c.j, coalesce(v, -1) + 0.0 as v from range(25) r(i) cross join range(12) c(j) left join {_CELLS} x on x.i = r.i and x.j = c.j")
+def sparse_filled(spark, d):
+    cells = table(spark, d, "lineitem").groupBy((F.col("l_suppkey") % 20).alias("i"), F.col("l_linenumber").cast("long").alias("j")).agg(F.round(F.sum("l_tax"), 4).alias("v"))
+    return M.filled(cells, 25, 12, -1).withColumn("v", F.col("v") + 0.0)
+
+
+@R.add(f"select img, y + 2 as y, x + 1 as x, v + 0.0 as r, v + 0.0 as g, v + 0.0 as b from {IMAGES}")
+def image_square(spark, d):
+    square = I.make_square(image(spark, d), 8, 10)
+    return I.grey_to_rgb(square.withColumns({"y": F.col("y") + 1, "x": F.col("x") + 1})).select("img", "y", "x", *((F.col(c) + 0.0).alias(c) for c in "rgb"))
+
+
+@R.add("""select l_orderkey, l_linenumber, round(l_extendedprice - (b1 * (l_quantity - mx) + b2 * (l_tax - mz)), 2) + 0.0 as rest from lineitem, (
+select (covar_pop(l_extendedprice, l_quantity) * var_pop(l_tax) - covar_pop(l_extendedprice, l_tax) * covar_pop(l_quantity, l_tax)) / (var_pop(l_quantity) * var_pop(l_tax) - pow(covar_pop(l_quantity, l_tax), 2)) as b1,
+(covar_pop(l_extendedprice, l_tax) * var_pop(l_quantity) - covar_pop(l_extendedprice, l_quantity) * covar_pop(l_quantity, l_tax)) / (var_pop(l_quantity) * var_pop(l_tax) - pow(covar_pop(l_quantity, l_tax), 2)) as b2,
+avg(l_quantity) as mx, avg(l_tax) as mz from lineitem)""")
+def orthogonalise_many(spark, d):
+    rest, _, _ = models.orthogonalise_from(table(spark, d, "lineitem"), ["l_extendedprice"], ["l_quantity", "l_tax"])
+    return rest.select("l_orderkey", "l_linenumber", (F.round("l_extendedprice_rest", 2) + 0.0).alias("rest"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles
