@@ -1,8 +1,11 @@
 """What the pipeline's stages keep, on small tables."""
 
+import hashlib
 import importlib
+import re
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -36,3 +39,39 @@ def test_near_duplicates_without_or_with_repeated_ids(spark, repeat):
     assert got.columns == docs.columns
     order = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
     assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=order) == sorted(want, key=order)
+
+
+def test_passages_are_cut(spark):
+    from test_passages import brute, made
+
+    rows = made(4)
+    docs = spark.createDataFrame([(i, t, "en", "a", None if t is None else len(t)) for i, t in rows], DOCS)
+    got = corpus_pipeline.cut_passages(spark, docs, "")
+    assert got.columns == docs.columns
+    hashes = {(r["doc_id"], hashlib.sha256(" ".join(re.split("[ \\t-\\r]+", r["text"] or "")).strip().encode()).hexdigest()) for r in got.collect()}
+    want = {(i, h) for i, n, gone, h in brute(rows) if not 0 < gone == n}
+    assert hashes == want
+    by = {i: t for i, t in rows if i == 504 or i == 505}
+    assert {r["doc_id"]: r["text"] for r in got.where("doc_id in (504, 505)").collect()} == by
+    changed = got.where("n_chars <> length(text)").count()
+    assert changed == 0
+
+
+def test_secrets_are_redacted(spark):
+    from test_secrets import brute, made
+
+    rows = [*enumerate(made(200, 9)), (None, "password = hunter2hunter2"), (3, "token: abcdefghijkl"), (3, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", None) for i, t in rows], DOCS).withColumn("found", F.lit(1))
+    got = corpus_pipeline.redact_secrets(spark, docs, "")
+    assert got.columns == docs.columns and got.count() == len(rows)
+    text = {(r["doc_id"], r["text"]) for r in got.collect()}
+    assert (None, "[SECRET]") in text and (3, "[SECRET]") in text and (3, None) in text and (0, None) in text
+    clean = [(i, t) for i, t in rows if t and not brute(t)[5]]
+    assert clean and text >= set(clean)
+
+
+def test_packing_holds_every_row(spark):
+    rows = [(1, "a b c", "en", "a", 5), (1, "a b c", "en", "a", 5), (None, None, None, None, None), (2, "", "en", "a", 0), (3, "word " * 3000, "en", "a", 1)]
+    got = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    whole = sorted((str(r["doc_id"]), r["piece"]) for r in got)
+    assert whole == sorted([("1", 0), ("1", 0), ("None", 0), ("2", 0), ("3", 0), ("3", 1)])

@@ -82,16 +82,16 @@ class Isotonic:
         return np.clip(np.interp(raw, self.x, self.y), 0, 1)
 
 
-def folds(n: int, k: int) -> np.ndarray:
-    return np.arange(n) % k
-
-
-def fit_calibrated(x: np.ndarray, y: np.ndarray, k: int = 4, **params) -> tuple[BoostedTrees, Isotonic]:
-    """Trees on all rows, and the calibration of out-of-fold scores."""
-    out, fold = np.zeros(len(y)), folds(len(y), k)
-    for i in range(k):
-        out[fold == i] = BoostedTrees(**params).fit(x[fold != i], y[fold != i]).raw(x[fold == i])
-    return BoostedTrees(**params).fit(x, y), Isotonic().fit(out, y)
+def fit_calibrated(x: np.ndarray, y: np.ndarray, fold: np.ndarray, **params) -> tuple[BoostedTrees, Isotonic]:
+    """Trees on all rows, and the calibration of out-of-fold scores.
+
+    ``x``: (row, k + 1, feature); of k folds, x[:, i] holds the features made without fold i, the last those made from all rows.
+    """
+    out = np.zeros(len(y))
+    for i in range(x.shape[1] - 1):
+        own = fold == i
+        out[own] = BoostedTrees(**params).fit(x[~own, i], y[~own]).raw(x[own, i])
+    return BoostedTrees(**params).fit(x[:, -1], y), Isotonic().fit(out, y)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None, ridge: float = 1.0, steps: int = 25) -> np.ndarray:

@@ -31,4 +31,5 @@ def components(spool: Spool, edges: DataFrame, name: str) -> DataFrame:
         spool.drop(f"{name}_near{turn}", f"{name}_{turn - 1}")
         labels = new.select("id", "comp")
         if not changed:
+            spool.drop(f"{name}_both")
             return labels

@@ -243,6 +243,7 @@ def _classes(spool: Spool, texts: DataFrame, signed_docs: DataFrame, similarity:
         more = _compared(spool, open_seats.select("band", "b", "comp", (1 - F.col("s")).alias("d"), "z"), held, similarity)
         if more.limit(1).count():
             comp = components(spool, edges.unionByName(more), "c2")
+    spool.drop("signed", "later", "bags", "known", "placed", "mixed", "more")
     classes = comp.select(F.col("id").alias("rep"), F.col("comp").alias("class_id"))
     out = member.hint("merge").join(classes.hint("merge"), "rep", "left").select("doc_id", F.coalesce("class_id", "rep").alias("class_id"), "n_words")
     return out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.min("n_words").alias("n_words"))

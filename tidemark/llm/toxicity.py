@@ -20,6 +20,8 @@ from tidemark.llm.spool import Spool
 
 #: Bounds of the fit: labelled documents (expected number), and words of the learned lexicon.
 SAMPLE_DOCS, LEARNED_WORDS = 12_000, 300
+#: Parts of the labelled documents that calibrate in turn.
+FOLDS = 4
 NEAR = 5
 # fixed values: common insults and second-person words in four languages
 INSULTS = """idiot idiots moron morons stupid dumb fool fools loser losers scum trash garbage worthless pathetic disgusting
@@ -129,27 +131,36 @@ def fit(docs: DataFrame, labels: DataFrame, sample_docs: int = SAMPLE_DOCS, lear
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = texts.join(F.broadcast(picked), "doc_id")  # at most about sample_docs rows of two numbers
     train = spool.cut(train.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("toxic").alias("toxic")), "train")
-    words = train.select("toxic", F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}{2,}', 0)"))).alias("word"))
-    seen = words.groupBy("word").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
-    sums = train.agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).first()
-    bad, total = sums["bad"] or 0, sums["n"]
-    odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (total - bad + 1.0))
-    p = max(1, bad) / max(1, total)
-    surprise = (F.col("bad") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p) + 1e-9)
-    tell = seen.where((F.col("bad") >= 4) & (surprise >= 5)).select("word", odds.alias("odds"), "bad").where("odds > 1.0")
-    learned = [(r["word"], float(r["odds"])) for r in tell.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "word").limit(learned_words).collect()]
-    features = Features(learned)
+    fold = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.lit(FOLDS)).cast("int")
+    words = train.select("toxic", fold.alias("fold"), F.explode(F.array_distinct(F.expr(r"regexp_extract_all(lower(text), '\\p{L}{2,}', 0)"))).alias("word"))
+    seen = spool.cut(words.groupBy("word", "fold").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")), "seen")
+    sums = {r["fold"]: (r["bad"], r["n"]) for r in train.groupBy(fold.alias("fold")).agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).collect()}
+    # one lexicon without each fold, for the calibration, and one of all rows, for the model
+    every = [Features(_lexicon(seen, sums, without, learned_words)) for without in (*range(FOLDS), None)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, data, offsets in blocks(batches):
-            x = features(data, offsets)
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2).cast(pa.int32()), pa.array(list(x))], names=["doc_id", "toxic", "x"])
-
-    rows = sorted((r["doc_id"], r["toxic"], r["x"]) for r in train.select("doc_id", "text", "toxic").mapInArrow(run, "doc_id long, toxic int, x array<double>").collect())
-    x = np.array([r[2] for r in rows]).reshape(len(rows), len(Features.NAMES))
-    trees, calibration = fit_calibrated(x, np.array([r[1] for r in rows], float))
-    spool.drop("train", "labels")
-    return ToxicityModel(features, trees, calibration)
+            x = np.concatenate([f(data, offsets) for f in every], axis=1)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(2).cast(pa.int32()), rows.column(3), pa.array(list(x))], names=["doc_id", "toxic", "fold", "x"])
+
+    held = train.select("doc_id", "text", "toxic", fold.alias("fold")).mapInArrow(run, "doc_id long, toxic int, fold int, x array<double>")
+    rows = sorted((r["doc_id"], r["toxic"], r["fold"], r["x"]) for r in held.collect())
+    x = np.array([r[3] for r in rows]).reshape(len(rows), FOLDS + 1, len(Features.NAMES))
+    trees, calibration = fit_calibrated(x, np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], int))
+    spool.drop("train", "labels", "seen")
+    return ToxicityModel(every[-1], trees, calibration)
+
+
+def _lexicon(seen: DataFrame, sums: dict[int, tuple[int, int]], without: int | None, most: int) -> list[tuple[str, float]]:
+    """(word, log odds) of the words that tell toxic documents, counted without one fold. ``seen``: (word, fold, bad, n)."""
+    used = [v for k, v in sums.items() if k != without]
+    bad, total = sum(v[0] for v in used), sum(v[1] for v in used)
+    counted = (seen if without is None else seen.where(F.col("fold") != without)).groupBy("word").agg(F.sum("bad").alias("bad"), F.sum("n").alias("n"))
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1.0)) - F.log((F.col("n") - F.col("bad") + 0.5) / (total - bad + 1.0))
+    p = max(1, bad) / max(1, total)
+    surprise = (F.col("bad") - F.col("n") * p) / F.sqrt(F.col("n") * p * (1 - p) + 1e-9)
+    tell = counted.where((F.col("bad") >= 4) & (surprise >= 5)).select("word", odds.alias("odds"), "bad").where("odds > 1.0")
+    return [(r["word"], float(r["odds"])) for r in tell.orderBy(F.desc(F.col("odds") * F.sqrt("bad")), "word").limit(most).collect()]
 
 
 def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
