@@ -344,10 +344,12 @@ def coherence(spark, d):
     return spectral.coherence(part, E, "other", nperseg=16).withColumn("coherence", F.round("coherence", 5) + 0.0)
 
 
-@R.add(f"""select user_id, round(k / max(n)::double, 9) as frequency, round((pow(sum(x * cos(w)), 2) + pow(sum(x * sin(w)), 2)) / max(n), 4) + 0.0 as power from (
+@R.add(f"""select user_id, round(k / max(n)::double, 9) as frequency, round(ln(1 + (pow(sum(x * cos(w)), 2) + pow(sum(x * sin(w)), 2)) / max(n)), 8) + 0.0 as log_power from (
 select user_id, k, n, value - avg(value) over (partition by user_id, k) as x, {TAU!r} * ((k * t) % n) / n as w from (select *, unnest(range(n // 2 + 1)) as k from {IX})) group by 1, k""")
 def power_spectrum(spark, d):
-    return spectral.power(events(spark, d), E).withColumns({"frequency": F.round("frequency", 9), "power": F.round("power", 4) + 0.0})
+    # powers of few-decimal values end after a few places at some frequencies; their logarithms don't, so no rounding is a tie
+    got = spectral.power(events(spark, d), E)
+    return got.select("user_id", F.round("frequency", 9).alias("frequency"), (F.round(F.log(1 + F.col("power")), 8) + 0.0).alias("log_power"))
 
 
 @R.add()
