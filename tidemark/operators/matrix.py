@@ -242,6 +242,39 @@ def polygon_distance(x: Column, y: Column, polygon: Sequence[tuple[float, float]
     return F.least(*far) if len(far) > 1 else far[0]
 
 
+def within_polygons(points: DataFrame, corners: DataFrame, x: str, y: str, cell: float, eps: float = 1e-9) -> DataFrame:
+    """Each point with every polygon (column ``poly``) it lies in, the boundary inside; points with a null or NaN place have none.
+
+    ``corners``: (poly, k, px, py) in the order of k. Points and polygons meet in the cells, ``cell`` wide, that a polygon's
+    bounds touch; there its edges, carried along as one array, are cast. A polygon is the unit of memory.
+    """
+    w = Window.partitionBy("poly").orderBy("k")
+    last = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    ends = {"x2": F.coalesce(F.lead("px").over(w), F.first("px").over(last)), "y2": F.coalesce(F.lead("py").over(w), F.first("py").over(last))}
+    edge = F.struct(F.col("px").alias("x1"), F.col("py").alias("y1"), "x2", "y2")
+    bounds = [f("p" + c).alias(n + c) for c in "xy" for n, f in (("lo_", F.min), ("hi_", F.max))]
+    shapes = corners.withColumns(ends).groupBy("poly").agg(F.collect_list(edge).alias("_edges"), *bounds)
+    at = lambda c: F.floor(c / cell)
+    for c in "xy":
+        shapes = shapes.withColumn(f"_c{c}", F.explode(F.sequence(at(F.col(f"lo_{c}") - eps), at(F.col(f"hi_{c}") + eps))))
+    px, py = F.col(x), F.col(y)
+    usable = px.isNotNull() & py.isNotNull() & ~F.isnan(px) & ~F.isnan(py)
+    met = points.where(usable).withColumns({"_cx": at(px), "_cy": at(py)}).join(shapes, ["_cx", "_cy"])
+    met = met.where(px.between(F.col("lo_x") - eps, F.col("hi_x") + eps) & py.between(F.col("lo_y") - eps, F.col("hi_y") + eps))
+
+    def on(e: Column) -> Column:
+        dx, dy = e["x2"] - e["x1"], e["y2"] - e["y1"]
+        off = F.abs(dx * (py - e["y1"]) - dy * (px - e["x1"])) <= eps * F.greatest(F.hypot(dx, dy), F.lit(eps))
+        inside = lambda v, a, b: v.between(F.least(a, b) - eps, F.greatest(a, b) + eps)
+        return off & inside(px, e["x1"], e["x2"]) & inside(py, e["y1"], e["y2"])
+
+    def crosses(e: Column) -> Column:
+        return ((py < e["y1"]) != (py < e["y2"])) & (px < (e["x2"] - e["x1"]) * F.try_divide(py - e["y1"], e["y2"] - e["y1"]) + e["x1"])
+
+    held = met.where(F.exists("_edges", on) | (F.size(F.filter("_edges", crosses)) % 2 == 1))
+    return held.select(*points.columns, "poly")
+
+
 def paths(edges: DataFrame) -> DataFrame:
     """All paths from roots to leaves of (parent, child), as arrays; a recursive query, so the graph must have no cycle."""
     view, spark = f"edges_{uuid.uuid4().hex}", edges.sparkSession

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tidemark.queries import matrices, more, series, tables
+from tidemark.queries import long, matrices, more, series, tables
 
-QUERIES: dict = series.QUERIES | matrices.QUERIES | tables.QUERIES | more.QUERIES
-ORACLES: dict = series.ORACLES | matrices.ORACLES | tables.ORACLES | more.ORACLES
+QUERIES: dict = series.QUERIES | matrices.QUERIES | tables.QUERIES | more.QUERIES | long.QUERIES
+ORACLES: dict = series.ORACLES | matrices.ORACLES | tables.ORACLES | more.ORACLES | long.ORACLES
