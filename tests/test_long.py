@@ -54,3 +54,16 @@ def test_polygons(spark):
         assert len(got) == len(set(got)) and set(got) == want | {(203, "dot"), (204, "dot")}
     assert {(200, "sq"), (201, "sq"), (202, "sq")} <= want and (205, "sq") not in want
     assert M.within_polygons(points, corners.limit(0), "x", "y", 1.0).count() == 0
+
+
+def test_event_windows_in_both_ways(rows, monkeypatch):
+    def found():
+        return sorted(map(tuple, S.event_windows(rows, SPEC, F.col("id") % 4 == 1, -3, 5).fillna(99.0, "value").fillna("-", "s").collect()))
+
+    one_pass = found()
+    monkeypatch.setattr(S, "FRAMES", 0)
+    assert found() == one_pass and {r[0] for r in one_pass} == {"a", "b", "-"}
+    t = {r["id"]: (r["s"] or "-", r["t"]) for r in SPEC.indexed(rows).collect()}
+    value = {t[r["id"]]: 99.0 if r["value"] is None else r["value"] for r in rows.collect()}
+    starts = [t[i] for i in t if i % 4 == 1]
+    assert one_pass == sorted((s, at, o, value[s, at + o]) for s, at in starts if (s, at - 3) in value and (s, at + 4) in value for o in range(-3, 5))

@@ -153,12 +153,22 @@ def drop_short_runs(df: DataFrame, spec: SeriesSpec, flag: Column, n: int, out:
 # ---- positions
 
 
+#: Up to this many offsets, windows around events are read by one frame each in one pass; wider ones by an equi-join on positions.
+FRAMES = 64
+
+
 def event_windows(df: DataFrame, spec: SeriesSpec, trigger: Column, low: int, high: int) -> DataFrame:
     """(keys, event, offset, value) for offsets low..high-1 around each trigger row; events whose window leaves the series are dropped."""
     part = spec.indexed(df.withColumn("_x", spec.x)).withColumn("_n", F.count("*").over(spec.whole))
-    at = part.where(trigger & (F.col("t") + low >= 0) & (F.col("t") + high <= F.col("_n")))
-    asked = at.select(*spec.keys, F.col("t").alias("event"), F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("offset")).withColumn("t", F.col("event") + F.col("offset"))
-    return asked.join(part.select(*spec.keys, "t", F.col("_x").alias("value")), [*spec.keys, "t"]).drop("t")
+    inside = trigger & (F.col("t") + low >= 0) & (F.col("t") + high <= F.col("_n"))
+    if high - low <= FRAMES:
+        near = F.array(*(F.lead("_x", o).over(spec.window) if o >= 0 else F.lag("_x", -o).over(spec.window) for o in range(low, high)))
+        at = part.withColumn("_near", near).where(inside)
+        return at.select(*spec.keys, F.col("t").alias("event"), F.posexplode("_near").alias("offset", "value")).withColumn("offset", F.col("offset") + low)
+    asked = part.where(inside).select(*spec.keys, F.col("t").alias("event"), F.explode(F.sequence(F.lit(low), F.lit(high - 1))).alias("offset"))
+    held = part.select(*(F.col(k).alias(f"_key{i}") for i, k in enumerate(spec.keys)), "t", F.col("_x").alias("value"))
+    same = reduce(lambda a, b: a & b, (F.col(k).eqNullSafe(F.col(f"_key{i}")) for i, k in enumerate(spec.keys)), F.col("t") == F.col("event") + F.col("offset"))
+    return asked.join(held, same).select(*spec.keys, "event", "offset", "value")
 
 
 def event_average(df: DataFrame, spec: SeriesSpec, trigger: Column, low: int, high: int) -> DataFrame:
