@@ -433,3 +433,61 @@ def test_samples(spark):
     assert samples.map_items(spark, lambda x: x * x, range(7)) == [x * x for x in range(7)] and samples.map_items(spark, str, []) == []
     got = samples.map_vectors(spark.createDataFrame([([3.0, 1.0, 2.0],)], "v array<double>"), "v", np.sort, "s").first()["s"]
     assert got == [1, 2, 3]
+
+
+def test_masks_of_frequencies():
+    # an independent sum over the axes, and the magnitudes at the cuts of the digital filter
+    m = I.butterworth_mask((6, 9), 0.25, 3)
+    far = ((np.fft.ifftshift(np.arange(6) - 2.5) / 1.5) ** 2)[:, None] + ((np.fft.ifftshift(np.arange(9) - 4) / 2.25) ** 2)[None]
+    assert np.allclose(m, 1 / (1 + far**3))
+    assert np.allclose(I.butterworth_mask((6, 9), 0.25, 3, high_pass=True), 1 - m) and np.allclose(I.butterworth_mask((6, 9), 0.25, 3, real=True, squared=False), np.sqrt(m[:, :5]))
+    low, band = I.ring_mask(32, 40, 0, 6), I.ring_mask(32, 40, 5, 9)
+    assert low[16, 20] == 1 and np.isclose(low[16, 26], 0.5**0.5) and low[0, 0] < 1e-3
+    assert band[16, 20] == 0 and np.isclose(band[16, 25], 0.5**0.5) and np.isclose(band[16, 29], 0.5**0.5) and band[16, 27] > 0.99
+
+
+def _images(spark, arrays):
+    rows = [(k, y, x, float(a[y, x])) for k, a in enumerate(arrays) for y in range(a.shape[0]) for x in range(a.shape[1])]
+    return spark.createDataFrame(rows, "img long, y long, x long, v double")
+
+
+def test_alignment_and_depths(spark):
+    rng = np.random.default_rng(12)
+    stack = rng.normal(size=(5, 16, 20))
+    got = {r["img"]: r for r in I.alignment_scores(_images(spark, [stack[0], np.roll(stack[0], (0, 1), (0, 1)), np.roll(stack[0], 6, 1), stack[1]]), stack[0], 2.0, 4.0).collect()}
+    c = I.correlation_image(stack[0], stack[0])
+    near, away = I.ring_mask(16, 20, 0, 2.0), I.ring_mask(16, 20, 4.0, 8.0)
+    assert np.isclose(got[0]["max_in"], 1, atol=1e-3) and np.isclose(got[0]["mean_in"], (c * near).sum() / near.sum()) and np.isclose(got[0]["std_out"], np.sqrt(((c - (c * away).sum() / away.sum()) ** 2 * away).mean()))
+    assert got[0]["z_in"] > got[1]["z_in"] > max(got[2]["max_diff"] * 5, got[3]["z_in"]) and got[2]["max_in"] < 0.3
+    mixed = 0.5 * stack[2] + 0.5 * stack[3]
+    deep = {r["img"]: r["depth"] for r in I.depths(_images(spark, [stack[2], mixed, stack[0]]), stack, np.arange(5) * 10.0, sigma=1.0).collect()}
+    assert abs(deep[0] - 20) < 3 and 21 < deep[1] < 29 and deep[2] == 0
+
+
+def test_scaled_waves():
+    x = np.linspace(-0.5, 0.5, 21)
+    cubic = lambda t: 3 * t**3 - t**2 + 0.5 * t - 2
+    for n in (4, 5, 6, 21):
+        y = cubic(np.linspace(-0.5, 0.5, n))
+        assert np.allclose(bases.even_spline(y, (np.linspace(-0.5, 0.5, 37) + 0.5) * (n - 1)), cubic(np.linspace(-0.5, 0.5, 37)))
+    waves = bases.scaled_waves(np.cos(np.linspace(-2 * np.pi, 2 * np.pi, 2001)), [50, 100], [100, 100])
+    for (at, wave), length in zip(waves, (50, 100), strict=True):
+        assert len(wave) == 100 and np.allclose(wave, np.where(np.abs(at) <= 0.5, np.cos(4 * np.pi * at), 0), atol=1e-8) and np.isclose(at[-1], 50 / length)
+    assert np.allclose(bases.scaled_waves(x, [11], kind="linear")[0][1], np.linspace(-0.5, 0.5, 11)) and np.allclose(bases.scaled_waves(x, [21], kind="nearest", fill=7)[0][1], x)
+    with pytest.raises(ValueError):
+        bases.scaled_waves(x, [5], kind="septic")
+
+
+def test_traces_and_yaml(spark, tmp_path):
+    for name, only in (("one", ("F", "Fneu", "spks", "iscell")), ("two", ("F",))):
+        (tmp_path / name).mkdir()
+        for k, n in enumerate(only):
+            np.save(tmp_path / name / f"{n}.npy", np.array([[1, 0.9], [0, 0.2]]) if n == "iscell" else np.arange(6.0).reshape(2, 3) + 10 * k)
+    np.save(tmp_path / "one" / "stat.npy", np.array([{"a": 1}], dtype=object), allow_pickle=True)
+    got = [tuple(r) for r in tables.read_traces(spark, str(tmp_path)).withColumn("folder", F.regexp_extract("folder", "([^/]*)$", 1)).orderBy("folder", "roi", "t").collect()]
+    assert got == [("one", i, t, 3.0 * i + t, 10 + 3.0 * i + t, 20 + 3.0 * i + t, 1.0 - i) for i in range(2) for t in range(3)] + [("two", i, t, 3.0 * i + t, None, None, None) for i in range(2) for t in range(3)]
+    pytest.importorskip("yaml")
+    (tmp_path / "a.yml").write_text("x: [1, 2]\nwhen: 2020-01-02\n")
+    (tmp_path / "b.yaml").write_text("# nothing")
+    (tmp_path / "c.yaml").write_text("")
+    assert [r["value"] for r in tables.read_yaml(spark, str(tmp_path)).orderBy("path").collect()] == ['{"x": [1, 2], "when": "2020-01-02"}', "null"]

@@ -73,3 +73,49 @@ def one_hot_of(label: Column, labels: Sequence[str]) -> Column:
     """An array of flags for the first letters, in upper case, of given labels; an unknown letter gives none."""
     first = F.upper(F.substring(label, 1, 1))
     return F.array(*(F.coalesce(first == x[:1].upper(), F.lit(False)) for x in labels))
+
+
+def even_spline(y: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The cubic spline through evenly spaced values, its third derivative continuous at the second and last but one, at places counted in steps."""
+    y, at, n = np.asarray(y, float), np.asarray(at, float), len(y)
+    if n < 4:
+        raise ValueError("a cubic spline needs four values")
+    bend = np.zeros(n)  # second derivatives: b[i-1] + 4 b[i] + b[i+1] = d[i], and the second and last but one are d / 6
+    d = 6 * (y[:-2] - 2 * y[1:-1] + y[2:])
+    bend[1], bend[-2] = d[0] / 6, d[-1] / 6
+    if n > 4:
+        right = d[1:-1].copy()
+        right[0] -= bend[1]
+        right[-1] -= bend[-2]
+        share = np.zeros(len(right))
+        for i in range(len(right)):
+            pivot = 4 - (share[i - 1] if i else 0)
+            share[i] = 1 / pivot
+            right[i] = (right[i] - (right[i - 1] if i else 0)) / pivot
+        for i in range(len(right) - 2, -1, -1):
+            right[i] -= share[i] * right[i + 1]
+        bend[2:-2] = right
+    bend[0], bend[-1] = 2 * bend[1] - bend[2], 2 * bend[-2] - bend[-3]
+    k = np.clip(np.floor(at).astype(int), 0, n - 2)
+    u = at - k
+    v = 1 - u
+    return v * y[k] + u * y[k + 1] + ((v**3 - v) * bend[k] + (u**3 - u) * bend[k + 1]) / 6
+
+
+def scaled_waves(mother: np.ndarray, lengths: Sequence[int], windows: Sequence[int] | None = None, kind: str = "cubic", fill: float = 0.0) -> list[tuple[np.ndarray, np.ndarray]]:
+    """(x, wave) of a mother wave stretched to each length and sampled over a window around its middle; ``fill`` outside. ``kind``: cubic, linear or nearest."""
+    windows = lengths if windows is None else windows
+    steps, out = len(mother) - 1, []
+    for length, window in zip(lengths, windows, strict=True):
+        x = (np.linspace(0, 1, window) - 0.5) * (window / length)
+        at = (x + 0.5) * steps
+        if kind == "cubic":
+            wave = even_spline(mother, at)
+        elif kind == "linear":
+            wave = np.interp(at, np.arange(steps + 1), mother)
+        elif kind == "nearest":
+            wave = np.asarray(mother, float)[np.clip(np.ceil(at - 0.5).astype(int), 0, steps)]
+        else:
+            raise ValueError(f"unknown kind {kind!r}")
+        out.append((x, np.where(np.abs(x) <= 0.5, wave, fill)))
+    return out

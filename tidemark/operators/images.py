@@ -46,6 +46,41 @@ def fourier_mask(spark: SparkSession, height: int, width: int, low: float, high:
     return d.withColumn("v", q(high) * (1 - q(low)))
 
 
+def cosine_torus(spark: SparkSession, offset: int, width: int) -> DataFrame:
+    """A raised cosine over the distance from the centre, from ``offset`` on ``width`` steps long, zero elsewhere; distances count in whole steps, rounded up."""
+    d = distance_grid(spark, offset + width, offset + width)
+    step = F.ceil("v") - 1 - offset
+    return d.withColumn("v", F.when(step.between(0, width - 1), 1 + F.cos(step * (2 * math.pi / max(width - 1, 1)) - math.pi)).otherwise(0.0))
+
+
+def butterworth_mask(shape: tuple[int, ...], factor: float, order: float, high_pass: bool = False, real: bool = False, squared: bool = True) -> np.ndarray:
+    """Butterworth weights of the frequencies of an array, zero frequency first; the cut is at ``factor`` of each axis.
+
+    ``real``: only the half of the last axis that a real transform has. Without ``squared``, the square root of the weights.
+    """
+    away = np.zeros((1,) * len(shape))
+    for axis, n in enumerate(shape):
+        at = np.fft.ifftshift(((np.arange(n) - (n - 1) / 2) / (n * factor)) ** 2)
+        at = at[: n // 2 + 1] if real and axis == len(shape) - 1 else at
+        away = away + at.reshape([-1 if k == axis else 1 for k in range(len(shape))])
+    away = away**order
+    mask = (away if high_pass else 1) / (1 + away)
+    return mask if squared else np.sqrt(mask)
+
+
+def ring_mask(height: int, width: int, low: float, high: float, order: int = 5) -> np.ndarray:
+    """Weights of distances from the centre in pixels: the magnitude of a digital Butterworth band-pass, or low-pass where low is 0."""
+    side = max(height, width)
+    far = np.hypot(*np.meshgrid(np.arange(height) - height // 2, np.arange(width) - width // 2, indexing="ij"))
+    bent = lambda f: np.tan(np.pi * np.minimum(f, side / 2 * (1 - 1e-9)) / side)
+    x, top = bent(far), bent(min(side / 2 - 1, high))
+    if low <= 0:
+        return 1 / np.sqrt(1 + (x / top) ** (2 * order))
+    bottom = bent(low)
+    with np.errstate(divide="ignore"):
+        return 1 / np.sqrt(1 + ((x * x - bottom * top) / ((top - bottom) * x)) ** (2 * order))
+
+
 def scale_range(df: DataFrame, low: float = 0, high: float = 1, eps: float = 1e-9) -> DataFrame:
     """Each image from its least value, over its largest, times the range."""
     return df.withColumn("v", (F.col("v") - F.min("v").over(whole())) * (high - low) / (F.max("v").over(whole()) + eps))
@@ -194,6 +229,52 @@ def translation_shifts(df: DataFrame, template: np.ndarray, mask: np.ndarray | N
     return _by_image(df, height, width, run, "dy long, dx long, peak double")
 
 
+def alignment_scores(df: DataFrame, template: np.ndarray, inside: float | tuple[float, float], outside: float | tuple[float, float], order: int = 5) -> DataFrame:
+    """(img, mean_out, mean_in, ptile95_out, max_in, std_out, std_in, max_diff, z_in, r_in): how the phase correlation with a
+    template (a small array, sent with the plan) near no shift stands out from that further away.
+
+    ``inside`` and ``outside`` are rings of distances; one number means from 0 to it, and from it to half the shorter side.
+    """
+    height, width = template.shape
+    near = ring_mask(height, width, *(inside if isinstance(inside, tuple) else (0.0, inside)), order)
+    away = ring_mask(height, width, *(outside if isinstance(outside, tuple) else (outside, min(height, width) / 2)), order)
+    names = ("mean_out", "mean_in", "ptile95_out", "max_in", "std_out", "std_in", "max_diff", "z_in", "r_in")
+
+    def run(image: np.ndarray) -> dict:
+        c = correlation_image(template, image)
+        means = [(c * w).sum() / w.sum() for w in (away, near)]
+        p95, top = np.quantile((c * away)[away > 1e-3], 0.95), (c * near).max()
+        spread = [math.sqrt(((c - m) ** 2 * w).mean()) for m, w in zip(means, (away, near), strict=True)]
+        over = lambda a, b: a / b if b else math.nan
+        values = (*means, p95, top, *spread, top - p95, over(top - p95, spread[0]), over(top - p95, p95))
+        return {n: [float(v)] for n, v in zip(names, values, strict=True)}
+
+    return _by_image(df, height, width, run, ", ".join(f"{n} double" for n in names))
+
+
+def depths(df: DataFrame, stack: np.ndarray, at: np.ndarray, mask: np.ndarray | None = None, sigma: float = 4.0) -> DataFrame:
+    """(img, depth, peak): where in a stack of slices (slices, height, width; sent with the plan) each image lies.
+
+    The phase correlation's peaks of the slices are smoothed by a Gaussian; the vertex of the parabola through the largest and
+    its neighbours is read in the slices' positions ``at``. At the ends the slice's own position stands.
+    """
+    reach = np.arange(-int(sigma), int(sigma) + 1)
+    kernel = np.exp(-0.5 * (reach / sigma) ** 2)
+    kernel /= kernel.sum()
+
+    def run(image: np.ndarray) -> dict:
+        tops = np.array([correlation_image(s, image, mask).max() for s in stack])
+        smooth = np.convolve(tops, kernel)[len(kernel) // 2 : len(kernel) // 2 + len(tops)]
+        k = int(smooth.argmax())
+        place = float(k)
+        if 0 < k < len(smooth) - 1:
+            a, b, c = smooth[k - 1 : k + 2]
+            place += (a - c) / (2 * (a - 2 * b + c)) if a - 2 * b + c else 0.0
+        return {"depth": [float(np.interp(place, np.arange(len(at)), at))], "peak": [float(tops.max())]}
+
+    return _by_image(df, *stack.shape[1:], run, "depth double, peak double")
+
+
 def resize(df: DataFrame, height: int, width: int, to: tuple[int, int]) -> DataFrame:
     """Bilinear resampling to another size, pixel centres aligned at the corners."""
     images = df.select("img").distinct()

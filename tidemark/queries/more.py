@@ -321,4 +321,10 @@ def orthogonalise_many(spark, d):
     return rest.select("l_orderkey", "l_linenumber", (F.round("l_extendedprice_rest", 2) + 0.0).alias("rest"))
 
 
+@R.add("""select y, x, case when s between 0 and 8 then round(1 + cos(s * 2 * pi() / 8 - pi()), 9) + 0.0 else 0.0 end as v from (
+select y, x, ceil(sqrt((y - 6) * (y - 6) + (x - 6) * (x - 6)))::bigint - 1 - 4 as s from range(13) a(y), range(13) b(x))""")
+def cosine_torus(spark, d):
+    return I.cosine_torus(spark, 4, 9).select("y", "x", (F.round("v", 9) + 0.0).alias("v"))
+
+
 QUERIES, ORACLES = R.queries, R.oracles

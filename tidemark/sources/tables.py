@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+import json
 import zipfile
 from collections.abc import Iterator
 
@@ -98,8 +99,8 @@ def parse_url(url: Column) -> Column:
     return F.struct(part(1).alias("dialect"), part(2).alias("user"), part(4).alias("host"), part(5).try_cast("int").alias("port"), part(6).alias("database"))
 
 
-def read_arrays(spark: SparkSession, root: str) -> DataFrame:
-    """(path, i, row): the rows of .npy files of one or two dimensions, decoded on the executors; a file is the unit of memory."""
+def read_arrays(spark: SparkSession, root: str, names: str = "*.npy") -> DataFrame:
+    """(path, i, row): the rows of .npy files (``names`` is a glob) of one or two dimensions, decoded on the executors; a file is the unit of memory."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -111,7 +112,7 @@ def read_arrays(spark: SparkSession, root: str) -> DataFrame:
                     yield pd.DataFrame({"path": path, "i": np.arange(lo, lo + len(part)), "row": list(part)})
 
     ship(spark)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.npy").option("recursiveFileLookup", "true").load(root)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", names).option("recursiveFileLookup", "true").load(root)
     return files.select("path", "content").mapInPandas(run, "path string, i long, row array<double>")
 
 
@@ -129,3 +130,30 @@ def read_archives(spark: SparkSession, root: str) -> DataFrame:
     ship(spark)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", "true").load(root)
     return files.select("path", "content").mapInPandas(run, "path string, name string, content binary")
+
+
+def read_traces(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, roi, t, F, Fneu, spks, iscell): the traces of recordings, one folder each, whose arrays are F.npy, Fneu.npy,
+    spks.npy (regions by times) and iscell.npy. What a folder doesn't have is null. A region's traces are the unit of memory;
+    arrays of pickled objects are never read."""
+    names = ("F", "Fneu", "spks", "iscell")
+    rows = read_arrays(spark, root, "{F,Fneu,spks,iscell}.npy").select(
+        F.regexp_extract("path", "^(.*)/[^/]*$", 1).alias("folder"), F.regexp_extract("path", r"([^/]*)\.npy$", 1).alias("_name"), F.col("i").alias("roi"), "row")
+    wide = rows.groupBy("folder", "roi").agg(*(F.any_value(F.when(F.col("_name") == n, F.col("row")), True).alias(n) for n in names))
+    traces = F.posexplode(F.arrays_zip(*(F.coalesce(n, F.array().cast("array<double>")).alias(n) for n in names[:-1]))).alias("t", "_v")
+    return wide.select("folder", "roi", F.get("iscell", F.lit(0)).alias("iscell"), traces).select("folder", "roi", "t", *(f"_v.{n}" for n in names[:-1]), "iscell")
+
+
+def read_yaml(spark: SparkSession, root: str) -> DataFrame:
+    """(path, value): YAML files as JSON text, for ``parse_json`` and ``from_json``; only plain values are read, and
+    files without a byte have no row. Needs PyYAML on the executors."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import yaml
+
+        for b in batches:
+            yield pd.DataFrame({"path": b["path"], "value": [json.dumps(yaml.safe_load(c), default=str) for c in b["content"]]})
+
+    ship(spark)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.{yaml,yml}").option("recursiveFileLookup", "true").load(root)
+    return files.select("path", "content").mapInPandas(run, "path string, value string")
