@@ -176,9 +176,11 @@ def event_average(df: DataFrame, spec: SeriesSpec, trigger: Column, low: int, hi
     return event_windows(df, spec, trigger, low, high).groupBy("offset").agg(F.avg("value").alias("mean"), F.count("value").alias("n"))
 
 
-def sorted_event_average(df: DataFrame, spec: SeriesSpec, trigger: Column, low: int, high: int, seed: int = 0) -> DataFrame:
-    """Train and test event means by series and offset, with the rank of the series by the offset of its train peak."""
-    win = event_windows(df, spec, trigger, low, high).withColumn("train", F.pmod(F.xxhash64(F.lit(seed), *spec.keys, "event"), F.lit(2)) == 0)
+def sorted_event_average(df: DataFrame, spec: SeriesSpec, trigger: Column, low: int, high: int, seed: int = 0, train: Column | None = None) -> DataFrame:
+    """Train and test event means by series and offset, with the offset of the series' train peak. ``train`` may look at the
+    keys and ``event``; without it, half of the events by hash."""
+    half = F.pmod(F.xxhash64(F.lit(seed), *spec.keys, "event"), F.lit(2)) == 0
+    win = event_windows(df, spec, trigger, low, high).withColumn("train", half if train is None else train)
     mean = win.groupBy(*spec.keys, "offset").agg(F.avg(F.when(F.col("train"), F.col("value"))).alias("train"), F.avg(F.when(~F.col("train"), F.col("value"))).alias("test"))
     peak = mean.where("train is not null").groupBy(*spec.keys).agg(F.max(F.struct("train", (-F.col("offset")).alias("o"))).alias("p"))
     return mean.join(peak.select(*spec.keys, (-F.col("p.o")).alias("peak")), [*spec.keys])

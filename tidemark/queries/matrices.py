@@ -183,7 +183,11 @@ def pca_scores(spark, d):
     return models.pca(v, "x", 3).scores(v, "x").select("vec_id", "scores")
 
 
-@R.add()
+@R.add("""with recursive v as (select vec_id, embedding[1]::double as x, embedding[2]::double as y from embeddings),
+near as (select a.vec_id as a, b.vec_id as b from v a join v b on abs(a.x - b.x) <= 0.03 and sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) <= 0.03), core as (select a from near group by a having count(*) >= 4),
+links as (select a, b from near where a in (from core) and b in (from core)), reach as (select a, a as b from core union select r.a, l.b from reach r join links l on l.a = r.b),
+label as (select a, min(b) as cluster from reach group by a), edge as (select n.a, min(l.cluster) as cluster from near n join label l on l.a = n.b group by n.a)
+select vec_id, coalesce(l.cluster, e.cluster, -1) as cluster from v left join label l on l.a = vec_id left join edge e on e.a = vec_id""")
 def dbscan(spark, d):
     from tidemark.queries.tables import shared
 

@@ -186,6 +186,15 @@ def event_average_sorted(spark, d):
     return S.sorted_event_average(events(spark, d), E, F.col("event_type") == "purchase", -3, 4)
 
 
+@R.add(f"""with w as (select a.user_id, a.t as event, b.t - a.t as o, b.value from {IX} a join {IX} b on a.user_id = b.user_id and b.t >= a.t - 3 and b.t < a.t + 4 where a.event_type = 'purchase' and a.t - 3 >= 0 and a.t + 4 <= a.n),
+m as (select user_id, o, avg(value) filter (event % 2 = 0) as train, avg(value) filter (event % 2 = 1) as test from w group by 1, 2),
+p as (select user_id, o as peak from (select user_id, o, row_number() over (partition by user_id order by train desc, o) as r from m where train is not null) where r = 1)
+select user_id, o as "offset", round(train, 6) + 0.0 as train, round(test, 6) + 0.0 as test, peak from m join p using (user_id)""")
+def event_average_by_parity(spark, d):
+    got = S.sorted_event_average(events(spark, d), E, F.col("event_type") == "purchase", -3, 4, train=F.col("event") % 2 == 0)
+    return got.select("user_id", F.col("offset").cast("long").alias("offset"), r6("train").alias("train"), r6("test").alias("test"), F.col("peak").cast("long").alias("peak"))
+
+
 @R.add("""select event_id, m as match from (select e.event_id, p.x as m, row_number() over (partition by e.event_id order by abs(p.x - e.x), p.x desc) as k from
 (select event_id, user_id, floor(epoch(ts))::bigint as x from events where event_type = 'view') e join (select distinct user_id, floor(epoch(ts))::bigint as x from events where event_type = 'purchase') p on e.user_id = p.user_id) where k = 1""")
 def nearest_match(spark, d):
@@ -352,14 +361,23 @@ def power_spectrum(spark, d):
     return got.select("user_id", F.round("frequency", 9).alias("frequency"), (F.round(F.log(1 + F.col("power")), 8) + 0.0).alias("log_power"))
 
 
-@R.add()
+# the transform of each series as sums: frequency k of n, its angle at t as w; half of the frequencies tell the rest
+_TURNS = f"(select *, {TAU!r} * ((k * t) % n) / n as w from (select *, unnest(range(n // 2 + 1)) as k from {IX}))"
+_FOURIER = f"(select user_id, k, sum(value * cos(w)) as re, sum(value * sin(w)) as im, case when k = 0 or 2 * k = max(n) then 1 else 2 end as twice from {_TURNS} group by 1, 2)"
+
+
+@R.add(f"""select event_id, round(sqrt(x * x + q * q), 6) + 0.0 as amplitude, round(coalesce(x / nullif(sqrt(x * x + q * q), 0), 1), 6) + 0.0 as cosine, round(coalesce(q / nullif(sqrt(x * x + q * q), 0), 0), 6) + 0.0 as sine from (
+select event_id, any_value(value) as x, sum(twice * (re * sin(w) - im * cos(w))) / any_value(n) as q from {_TURNS} join {_FOURIER} using (user_id, k) group by 1)""")
 def hilbert_phase(spark, d):
-    return spectral.hilbert(events(spark, d), E).select("event_id", "amplitude", "phase")
+    # cosine and sine of the phase, as noise around half a turn changes its sign
+    got = spectral.hilbert(events(spark, d), E)
+    return got.select("event_id", r6("amplitude").alias("amplitude"), r6(F.cos("phase")).alias("cosine"), r6(F.sin("phase")).alias("sine"))
 
 
-@R.add()
+@R.add(f"""select event_id, round(sum(twice * (re * cos(w) + im * sin(w)) * case when k = 0 then 0 else 1 / (1 + pow(k / n / 0.3, 8)) / (1 + pow(0.05 * n / k, 8)) end) / any_value(n), 6) + 0.0 as filtered
+from {_TURNS} join {_FOURIER} using (user_id, k) group by 1""")
 def bandpass(spark, d):
-    return spectral.butter_bandpass(events(spark, d), E, 0.05, 0.3, 1.0).select("event_id", "filtered")
+    return spectral.butter_bandpass(events(spark, d), E, 0.05, 0.3, 1.0).select("event_id", r6("filtered").alias("filtered"))
 
 
 @R.add()
