@@ -115,12 +115,15 @@ def merge_moments(a: Moments, b: Moments) -> Moments:
     return Moments(n, a.mean + d * b.n / max(n, 1), a.scatter + b.scatter + np.outer(d, d) * a.n * b.n / max(n, 1))
 
 
-def ridge_sweep(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alphas: Sequence[float], folds: int = 3, group: Sequence[str] = ()) -> DataFrame:
-    """(keys, alpha, fold, theta, intercept, ev_train, ev_test) for every group, fold and alpha, from one pass of sums by (keys, fold)."""
+def ridge_sweep(df: DataFrame, keys: Sequence[str], features: Sequence[str], target: str, alphas: Sequence[float], folds: int = 3, group: Sequence[str] = (), fold: Column | None = None) -> DataFrame:
+    """(keys, alpha, fold, theta, intercept, ev_train, ev_test) for every group, fold and alpha, from one pass of sums by (keys, fold).
+
+    Folds go by the hash of ``group`` unless ``fold``, an integer of each row, is given.
+    """
     names = [*features, target]
     p = len(names)
     sums = [F.count("*").alias("n"), *(F.sum(c).alias(f"s_{i}") for i, c in enumerate(names)), *(F.sum(F.col(a) * F.col(b)).alias(f"q_{i}_{j}") for i, a in enumerate(names) for j, b in enumerate(names) if j >= i)]
-    part = df.withColumn("fold", fold_of(folds, *(group or names))).groupBy(*keys, "fold").agg(*sums)
+    part = df.withColumn("fold", fold_of(folds, *(group or names)) if fold is None else fold.cast("int")).groupBy(*keys, "fold").agg(*sums)
     key_fields = [df.schema[k] for k in keys]
     from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 

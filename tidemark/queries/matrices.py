@@ -177,6 +177,18 @@ def ridge_sweep(spark, d):
     return models.ridge_sweep(table(spark, d, "lineitem"), ["l_returnflag"], ["l_quantity", "l_discount", "l_tax"], "l_extendedprice", [0.0, 1.0, 100.0], group=["l_orderkey"])
 
 
+@R.add("""with l as (select l_returnflag, (l_orderkey % 3)::int as fold, l_quantity::double as x, l_extendedprice::double as y from lineitem),
+g as (select distinct l_returnflag, fold from l), s as (select g.l_returnflag, g.fold, l.fold <> g.fold as train, count(*) as n, avg(x) as mx, avg(y) as my, covar_pop(x, y) as cxy, var_pop(x) as vx, var_pop(y) as vy from g join l on l.l_returnflag = g.l_returnflag group by 1, 2, 3),
+f as (select l_returnflag, fold, alpha, n * cxy / (n * vx + alpha) as theta, my - n * cxy / (n * vx + alpha) * mx as intercept from s, (values (0.0::double), (1e6::double)) a(alpha) where train),
+e as (select f.*, train, 1 - (vy - 2 * theta * cxy + theta * theta * vx + pow(my - theta * mx - intercept, 2)) / vy as ev from f join s on s.l_returnflag = f.l_returnflag and s.fold = f.fold)
+select l_returnflag, alpha, fold, round(any_value(theta), 5) + 0.0 as slope, round(any_value(intercept), 4) + 0.0 as intercept, round(max(ev) filter (train), 8) + 0.0 as ev_train, round(max(ev) filter (not train), 8) + 0.0 as ev_test from e group by 1, 2, 3""")
+def ridge_by_remainder(spark, d):
+    li = table(spark, d, "lineitem")
+    got = models.ridge_sweep(li, ["l_returnflag"], ["l_quantity"], "l_extendedprice", [0.0, 1e6], fold=F.col("l_orderkey") % 3)
+    part = lambda c, n: (F.round(c, n) + 0.0).alias(c if isinstance(c, str) else "slope")
+    return got.select("l_returnflag", "alpha", "fold", part(F.col("theta")[0], 5), part("intercept", 4), part("ev_train", 8), part("ev_test", 8))
+
+
 @R.add()
 def pca_scores(spark, d):
     v = vectors(spark, d).withColumn("x", F.transform("embedding", lambda a: a.cast("double")))
