@@ -67,3 +67,20 @@ def test_event_windows_in_both_ways(rows, monkeypatch):
     value = {t[r["id"]]: 99.0 if r["value"] is None else r["value"] for r in rows.collect()}
     starts = [t[i] for i in t if i % 4 == 1]
     assert one_pass == sorted((s, at, o, value[s, at + o]) for s, at in starts if (s, at - 3) in value and (s, at + 4) in value for o in range(-3, 5))
+
+
+def test_wide_percentiles(rows, monkeypatch):
+    """Frames kept sorted hold what Spark's own frames do, to the bit, whatever the other columns hold."""
+    odd = rows.withColumns({"big": F.when(F.col("id") % 3 == 0, F.col("id") + 2**60), "when": F.timestamp_seconds("id"), "list": F.array("id"), "value": F.when(F.col("id") % 11 == 0, float("nan")).when(F.col("id") % 5 == 0, 0.5).otherwise(F.col("value"))})
+    for width, p in ((1, 0.5), (6, 0.3), (75, 0.0), (200, 0.9), (4000, 1.0)):
+        both = []
+        for sliding in (0, 10_000):
+            monkeypatch.setattr(S, "SLIDING", sliding)
+            got = S.rolling_percentile(odd, SPEC, p, width)
+            assert got.columns == [*odd.columns, "baseline"] and got.dtypes[:-1] == odd.dtypes
+            both.append({r["id"]: (r["baseline"], r["big"], r["when"], r["list"], r["s"]) for r in got.collect()})
+        assert len(both[0]) == 900 and both[0] == both[1]
+    monkeypatch.setattr(S, "SLIDING", 0)
+    assert S.rolling_percentile(odd.limit(0), SPEC, 0.5, 9).count() == 0
+    again = S.rolling_percentile(S.rolling_percentile(odd, SPEC, 0.5, 9), SPEC, 0.5, 9)
+    assert again.columns.count("baseline") == 1

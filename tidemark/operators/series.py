@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
 from collections.abc import Callable, Sequence
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tidemark.functions.scalar import circ_wrap
 from tidemark.session import ship
@@ -28,9 +32,46 @@ def centred(spec: SeriesSpec, width: int):
     return spec.rows(width // 2, (width - 1) // 2)
 
 
+#: Wider frames of percentiles are kept sorted as they slide; Spark counts each frame's values anew, so its work grows with the width.
+SLIDING = 32
+
+
+def sorted_quantiles(x: np.ndarray, p: float, before: int, after: int) -> np.ndarray:
+    """The quantile of each frame by linear interpolation, NaN left out and where a frame has no value; the frame's values stay sorted as it moves."""
+    out, held = np.full(len(x), np.nan), []
+    values, missing = x.tolist(), np.isnan(x).tolist()
+    for i in range(-after, len(values)):
+        if i + after < len(values) and not missing[i + after]:
+            insort(held, values[i + after])
+        if i > before and not missing[i - before - 1]:
+            del held[bisect_left(held, values[i - before - 1])]
+        if i >= 0 and held:
+            at = p * (len(held) - 1)
+            low = int(at)
+            a, b = held[low], held[min(low + 1, len(held) - 1)]
+            out[i] = a if a == b or at == low else (low + 1 - at) * a + (at - low) * b
+    return out
+
+
+def _rolling(df: DataFrame, spec: SeriesSpec, x: Column, p: float, width: int, out: str) -> DataFrame:
+    """Adds the quantile of ``x`` over centred frames. Of wide ones, a series (or its block, see ``blocks.in_blocks``) is the unit of memory."""
+    if width <= SLIDING:
+        return df.withColumn(out, F.percentile(x, F.lit(p)).over(centred(spec, width)))
+
+    def run(part: pa.Table) -> pa.Table:
+        part = part.sort_by("_t")
+        q = sorted_quantiles(part.column("_v").to_numpy().astype(float), p, width // 2, (width - 1) // 2)
+        return part.drop_columns(["_t", "_v"]).append_column(out, pa.array(q, from_pandas=True))
+
+    ship(df.sparkSession)
+    part = spec.indexed(df.drop(out).withColumn("_v", x), "_t")
+    schema = StructType([*(f for f in part.schema if f.name not in ("_t", "_v")), StructField(out, DoubleType())])
+    return part.groupBy(*spec.keys).applyInArrow(run, schema)
+
+
 def rolling_percentile(df: DataFrame, spec: SeriesSpec, p: float, width: int, out: str = "baseline", stride: int = 1) -> DataFrame:
     """Exact rolling quantile with linear interpolation, cut short at the ends; every ``stride``-th row is kept."""
-    full = df.withColumn(out, F.percentile(spec.x, F.lit(p)).over(centred(spec, width)))
+    full = _rolling(df, spec, spec.x, p, width, out)
     return full if stride == 1 else spec.indexed(full, "_t").where(F.col("_t") % stride == 0).drop("_t")
 
 
@@ -274,8 +315,6 @@ def dampen(df: DataFrame, spec: SeriesSpec, factor: float, out: str = "damped")
             out_values.append(y)
         return pdf.assign(**{out: out_values})[[*names, out]]
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     ship(df.sparkSession)
     return df.groupBy(*spec.keys).applyInPandas(fold, StructType([*df.schema.fields, StructField(out, DoubleType())]))
 
@@ -312,7 +351,7 @@ def dff(df: DataFrame, spec: SeriesSpec, p: float = 0.3, width: int | None = Non
     base = spec.x if surround is None else spec.x - fraction * F.col(surround)
     part = df.withColumn("subtracted", base)
     q = F.percentile("subtracted", F.lit(p))
-    part = with_totals(part, spec.keys, baseline=q) if width is None else part.withColumn("baseline", q.over(centred(spec, width)))
+    part = with_totals(part, spec.keys, baseline=q) if width is None else _rolling(part, spec, F.col("subtracted"), p, width, "baseline")
     return part.withColumn("df", F.col("subtracted") - F.col("baseline")).withColumn("dff", F.try_divide("df", F.nullif(F.col("baseline"), F.lit(0.0))))
 
 
@@ -372,7 +411,7 @@ def trace_quality(df: DataFrame, spec: SeriesSpec, surround: str, fraction: floa
     """
     v, keys = spec.value, list(spec.keys)
     traced = dff(df, spec, p, None, surround, fraction)
-    traced = traced.withColumn("_roll", F.percentile("subtracted", F.lit(p)).over(centred(spec, width)))
+    traced = _rolling(traced, spec, F.col("subtracted"), p, width, "_roll")
     of = lambda c: SeriesSpec(spec.keys, spec.order, c)
     ratio = F.try_divide(F.var_samp(surround), F.nullif(F.var_samp(v), F.lit(0.0)))
     m = traced.groupBy(*keys).agg(
