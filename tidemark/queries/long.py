@@ -57,7 +57,7 @@ def points_in_polygons(spark, d):
     corners = table(spark, d, "nation").select("n_nationkey", k.alias("k", "at"))
     corners = corners.select(F.col("n_nationkey").alias("poly"), "k", (F.col("n_nationkey") * 2.0 + 0.3 + F.col("at.dx")).alias("px"), (F.col("n_nationkey") % 5 * 2.0 + 0.2 + F.col("at.dy")).alias("py"))
     points = table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("x"), (F.col("l_discount") * 100).cast("double").alias("y"))
-    return M.within_polygons(points, corners, "x", "y", 2.0).groupBy("poly").agg(F.count("*").alias("n"))
+    return M.within_polygons(points, corners, "x", "y", 2.0, boundary=False).groupBy("poly").agg(F.count("*").alias("n"))
 
 
 @R.add("select l_returnflag, l_linestatus, count(*) as n, round(avg(l_quantity), 6) + 0.0 as mean, grouping(l_returnflag, l_linestatus)::bigint as level from lineitem group by cube (l_returnflag, l_linestatus)")
