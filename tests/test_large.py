@@ -1,7 +1,9 @@
 """Core queries against their SQL on rows that only larger tables hold."""
 
 import duckdb
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark import queries
@@ -11,10 +13,10 @@ from tidemark import queries
 def against_sql(spark, tmp_path):
     """Rows of a query and of its SQL over the given tables, sorted."""
 
-    def run(name: str, **tables: pd.DataFrame):
+    def run(name: str, **tables: pa.Table):
         con = duckdb.connect()
         for t, rows in tables.items():
-            rows.to_parquet(tmp_path / f"{t}.parquet", coerce_timestamps="us")
+            pq.write_table(rows, tmp_path / f"{t}.parquet")
             con.execute(f"create view {t} as select * from '{tmp_path}/{t}.parquet'")
         want = con.execute(queries.ORACLES[name])
         columns = [c[0] for c in want.description]
@@ -27,5 +29,14 @@ def against_sql(spark, tmp_path):
 def test_points_on_edges(against_sql):
     # x - 5000 = 8.5 (k mod 997) is the polygon's slanted edge; 0 and 997 are on the lower one; a null place is in none
     at = {10: 5085.0, 20: 5170.0, 997: 12.5, 0: 5000.0, 300: None, 400: 100.0, 401: 5000.0}
-    got, want = against_sql("points_in_polygon", customer=pd.DataFrame({"c_custkey": list(at), "c_acctbal": pd.Series(list(at.values()), dtype="float64")}))
+    got, want = against_sql("points_in_polygon", customer=pa.table({"c_custkey": list(at), "c_acctbal": pa.array(at.values(), pa.float64())}))
     assert got == want and {k: i for k, i, _ in got} == {10: False, 20: False, 997: True, 0: False, 300: False, 400: False, 401: True}
+
+
+def test_convergence_over_missing_values(against_sql):
+    # six users of 40 events; nulls in some series, among them whole frames, and one NaN
+    rng = np.random.default_rng(4)
+    value = [None if u in (1, 2) and i % (7 - 4 * (u == 2)) == 0 or u == 3 and i < 25 else float("nan") if (u, i) == (4, 12) else float(x) for u in range(6) for i, x in enumerate(np.round(rng.normal(50, 9, 40), 2))]
+    table = pa.table({"event_id": range(240), "user_id": [n // 40 for n in range(240)], "ts": pa.array(range(240), pa.timestamp("us")), "event_type": ["view"] * 240, "value": pa.array(value, pa.float64())})
+    got, want = against_sql("convergence_point", events=table)
+    assert got == want and dict(got)[1] is not None

@@ -136,11 +136,15 @@ def scale_between(df: DataFrame, spec: SeriesSpec, low: float = 0, high: float =
     return part.withColumn(out, F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), y)) if clip else y).drop("_a", "_b")
 
 
-def convergence(df: DataFrame, spec: SeriesSpec, width: int, tol: float, mode: str = "abs_less") -> DataFrame:
-    """First position whose preceding ``width`` values have a fitted line that changes by less/more than tol, by series."""
+def convergence(df: DataFrame, spec: SeriesSpec, width: int, tol: float, mode: str = "abs_less", gaps: bool = False) -> DataFrame:
+    """First position whose preceding ``width`` values have a fitted line that changes by less/more than tol, by series.
+
+    A frame with a missing value has no line; with ``gaps`` nulls are passed over and a NaN alone leaves its frame without one.
+    """
     part = spec.indexed(df)
-    ix = SeriesSpec(spec.keys, ("t",), spec.value)
-    part = part.withColumn("_delta", F.when(F.count(spec.x).over(ix.rows(width, -1)) == width, (width - 1) * F.regr_slope(spec.x, F.col("t").cast("double")).over(ix.rows(width, -1))))
+    w = SeriesSpec(spec.keys, ("t",), spec.value).rows(width, -1)
+    whole = (F.count("*").over(w) == width) & (F.count_if(F.isnan(F.col(spec.value).cast("double"))).over(w) == 0) if gaps else F.count(spec.x).over(w) == width
+    part = part.withColumn("_delta", F.when(whole, (width - 1) * F.regr_slope(spec.x, F.col("t").cast("double")).over(w)))
     d = F.col("_delta")
     hit = {"less": d < tol, "greater": d > tol, "abs_less": F.abs(d) < tol, "abs_greater": F.abs(d) > tol}[mode]
     return part.groupBy(*spec.keys).agg(F.min(F.when(hit, F.col("t"))).alias("converged_at"))

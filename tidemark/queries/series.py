@@ -127,7 +127,7 @@ def scale_percentile(spark, d):
 @R.add(f"""select user_id, min(case when abs(delta) < 5 then t end) as converged_at from (
 select user_id, t, case when count(*) over w = 20 then 19 * regr_slope(value, t::double) over w end as delta from {IX} window w as (partition by user_id order by t rows between 20 preceding and 1 preceding)) group by user_id""")
 def convergence_point(spark, d):
-    return S.convergence(events(spark, d), E, 20, 5.0)
+    return S.convergence(events(spark, d), E, 20, 5.0, gaps=True)
 
 
 @R.add(f"""select event_id, round(best, 6) + 0.0 as best, (count(*) {rows('9 preceding and current row')} = 10) and max(best) {rows('9 preceding and current row')} - min(best) {rows('9 preceding and current row')} <= 0.05 * abs(best) as stalled
