@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 import pytest
 
 from tidemark import queries
+from tidemark.operators import matrix
 from tidemark.plans import models
 
 
@@ -99,3 +100,11 @@ def test_sets_within(monkeypatch):
         d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
         for eps in (0.1, 0.4, *([d.min(), np.nextafter(d.min(), 0)] if d.size else [])):
             assert models.within(a, b, eps) == bool((d <= eps).any())
+
+
+def test_block_products_move_vectors_once(spark):
+    df = spark.createDataFrame([(i, [float(i % 7), 1.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    pairs = matrix.cosines(df, "vec_id", "embedding", 4)
+    plan = pairs._jdf.queryExecution().toString()
+    assert "CartesianProduct" in plan and "explode" not in plan
+    assert pairs.count() == 40 * 39 // 2 == pairs.select("a", "b").distinct().count()
